@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import crosssplit, formdupes, tokens
+    from . import crosssplit, formdupes, lookalikes, mojibake, tokens
 
-    return [formdupes, crosssplit, tokens]
+    return [formdupes, crosssplit, lookalikes, tokens, mojibake]
 
 
 def queries() -> dict:
