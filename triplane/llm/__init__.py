@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import crosssplit, formdupes, leakage, lookalikes, mojibake, tokens
+    from . import canonical_values, crosssplit, formdupes, leakage, lookalikes, mojibake, tokens
 
-    return [formdupes, crosssplit, lookalikes, tokens, leakage, mojibake]
+    return [formdupes, crosssplit, lookalikes, canonical_values, tokens, leakage, mojibake]
 
 
 def queries() -> dict:
