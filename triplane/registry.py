@@ -4,7 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    return []
+    from .sources import program_lines
+
+    return [program_lines]
 
 
 def queries() -> dict:
