@@ -20,8 +20,10 @@ from ..runtime import table, use_checkpoints
 from .canonical import query_meaning, utterance_form, with_forms
 
 #: Least Jaccard similarity of the utterances' shingles.
-SIMILARITY = 0.35
+SIMILARITY = 0.4
 WIDTH = 3
+#: Hash buckets in which the rarity of shingles is counted.
+BUCKETS = 1 << 14
 
 
 def shingles(text: Column) -> Column:
@@ -37,31 +39,48 @@ def record_keys(rows: DataFrame, key: str, held_out: bool) -> DataFrame:
     return with_forms(filled.select(key, "sparql", "utterance"), {"sparql": ("q", query_meaning), "utterance": ("u", utterance_form)}, {"q"})
 
 
+def rarities(classes: DataFrame) -> bytes:
+    """The rank by rarity of each of BUCKETS hash buckets of shingles, two bytes each: of one length, whatever the data."""
+    buckets = classes.select(F.explode(shingles(F.col("u"))).alias("gram")).groupBy(bucket(F.col("gram")).alias("b")).agg(F.count("*").alias("n"))
+    counts = [0] * BUCKETS
+    for row in buckets.collect():
+        counts[row.b] = row.n
+    rank = {n: i for i, n in enumerate(sorted(set(counts)))}
+    return b"".join(rank[n].to_bytes(2, "big") for n in counts)
+
+
+def bucket(gram: Column) -> Column:
+    return F.pmod(F.hash(gram), F.lit(BUCKETS))
+
+
 def similar_classes(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(q1, q2, eu, tu): the class pairs of one meaning, evaluation and training utterance form.
 
-    classes: (q1, q2, u, held_out, trained), distinct by the first three.
+    classes: (q1, q2, u, held_out, trained), distinct by the first three. Shingles are ordered by the
+    rarity of their hash bucket and then by themselves, an order that all classes share, so the prefix
+    filter is exact. Prefixes travel as hashes; a collision makes a candidate more, which verification drops.
     """
     t = similarity
-    with_grams = classes.withColumn("gram", F.explode(shingles(F.col("u"))))
-    rarity = with_grams.groupBy("gram").agg(F.count("*").alias("df"))
-    ordered = (
-        with_grams.join(rarity, "gram")
-        .groupBy("q1", "q2", "u", "held_out", "trained")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("ranked"))
-        .select("q1", "q2", "u", "held_out", "trained", F.col("ranked.gram").alias("grams"))
-        .withColumn("n", F.size("grams"))
+    ranks = F.lit(bytearray(rarities(classes)))
+    ranked = F.array_sort(F.transform(shingles(F.col("u")), lambda g: F.struct(F.substr(ranks, bucket(g) * 2 + 1, F.lit(2)).alias("rank"), g.alias("gram"))))
+    n = F.size("ranked")
+    keyed = classes.select("q1", "q2", "u", "held_out", "trained", F.xxhash64("q1", "q2", "u").alias("c"), ranked.alias("ranked"))
+    prefix = F.slice("ranked.gram", F.lit(1), n - F.ceil(n * t - 1e-9).cast("int") + 1)
+    probes = keyed.select("q1", "q2", "c", "held_out", "trained", n.alias("n"), F.posexplode(prefix).alias("at", "gram")).select(
+        F.xxhash64("q1", "q2", "gram").alias("j"), "c", "n", "at", "held_out", "trained"
     )
-    prefix = F.slice("grams", F.lit(1), F.col("n") - F.ceil(F.col("n") * t - 1e-9).cast("int") + 1)
-    probes = ordered.select("q1", "q2", "u", "held_out", "trained", "grams", "n", F.posexplode(prefix).alias("at", "gram"))
-    e = probes.filter("held_out").select("q1", "q2", "gram", F.col("u").alias("eu"), F.col("grams").alias("eg"), F.col("n").alias("en"), F.col("at").alias("ea"))
-    r = probes.filter("trained").select("q1", "q2", "gram", F.col("u").alias("tu"), F.col("grams").alias("tg"), F.col("n").alias("tn"), F.col("at").alias("ta"))
+    e = probes.filter("held_out").select("j", F.col("c").alias("ec"), F.col("n").alias("en"), F.col("at").alias("ea"))
+    r = probes.filter("trained").select("j", F.col("c").alias("tc"), F.col("n").alias("tn"), F.col("at").alias("ta"))
     needed = F.ceil((F.col("en") + F.col("tn")) * (t / (1 + t)) - 1e-9)
     fits = (F.col("en") >= F.col("tn") * t) & (F.col("tn") >= F.col("en") * t)
     within = F.least(F.col("en") - F.col("ea"), F.col("tn") - F.col("ta")) >= needed
-    candidates = e.join(r, ["q1", "q2", "gram"]).filter(fits & within)
-    overlap = F.size(F.array_intersect("eg", "tg"))
-    return candidates.filter(overlap >= needed).select("q1", "q2", "eu", "tu").distinct()
+    candidates = e.join(r, "j").filter(fits & within).select("ec", "tc").distinct()
+    left = classes.filter("held_out").select(F.xxhash64("q1", "q2", "u").alias("ec"), "q1", "q2", F.col("u").alias("eu"))
+    right = classes.filter("trained").select(F.xxhash64("q1", "q2", "u").alias("tc"), F.col("q1").alias("r1"), F.col("q2").alias("r2"), F.col("u").alias("tu"))
+    pairs = candidates.join(left, "ec").join(right, "tc").filter("q1 = r1 AND q2 = r2")
+    eg, tg = shingles(F.col("eu")), shingles(F.col("tu"))
+    common = F.size(F.array_intersect(eg, tg))
+    return pairs.filter(common >= (F.size(eg) + F.size(tg) - common) * t - 1e-9).select("q1", "q2", "eu", "tu")
 
 
 def shared_records(rows: DataFrame, key: str) -> DataFrame:
@@ -79,8 +98,9 @@ def shared_records(rows: DataFrame, key: str) -> DataFrame:
 
 
 def class_pairs(records: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The similar class pairs of records; their classes are checkpointed, as rarities, prefixes and verification read them."""
     classes = records.groupBy("q1", "q2", "u").agg(F.max("held_out").alias("held_out"), (~F.min("held_out")).alias("trained"))
-    return similar_classes(classes, similarity)
+    return similar_classes(classes.checkpoint(), similarity)
 
 
 def overlaps(rows: DataFrame, key: str = "row_id", similarity: float = SIMILARITY) -> DataFrame:
