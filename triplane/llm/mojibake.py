@@ -21,7 +21,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import table, use_checkpoints
 
 #: Single-byte encodings that text is wrongly decoded with, in order of preference for repair.
 WRONG = ["cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8_r", "cp866"]
@@ -228,7 +228,8 @@ def repaired_words(counts: DataFrame) -> DataFrame:
 def garbled_words(documents: DataFrame, text: str = "text") -> DataFrame:
     """(word, original): each distinct garbled word once, with its original where that is known.
 
-    Of several originals the most frequent counts, on a tie the first in order.
+    Of several originals the most frequent counts, on a tie the first in order. The word counts are
+    checkpointed: three steps read them, and counting takes a pass over the texts.
     """
     import pyarrow as pa
 
@@ -239,7 +240,8 @@ def garbled_words(documents: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, shaped(batch.column(0))], ["word", "df", "original", "original_df", "shaped"])
 
-    counts = word_counts(documents, text)
+    use_checkpoints(documents.sparkSession)
+    counts = word_counts(documents, text).checkpoint()
     met = counts.join(form_table(counts), F.col("word") == F.col("form")).filter("original_df > df").select("word", "df", "original", "original_df")
     met = met.mapInArrow(run, "word string, df bigint, original string, original_df bigint, shaped boolean")
     # A single letter is a form of other single letters by chance: clean texts hold such letters too.
