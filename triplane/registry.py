@@ -4,9 +4,10 @@ from __future__ import annotations
 
 
 def _modules():
+    from . import queries
     from .sources import program_lines
 
-    return [program_lines]
+    return [queries, program_lines]
 
 
 def queries() -> dict:
