@@ -13,7 +13,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import use_checkpoints
+from ..runtime import numbers_frame, use_checkpoints
 
 #: Edges and pairs up to which the driver follows a hierarchy itself.
 SMALL, SMALL_PAIRS = 20_000, 200_000
@@ -38,6 +38,15 @@ def _follow(steps: dict, starts) -> set:
     return reached
 
 
+def reach_few(edges: DataFrame, starts: list[int], backward: bool = False, zero: bool = False) -> list[int] | None:
+    """The nodes reached from given ones, if the edges are few; None otherwise."""
+    near, far = ("v", "s") if backward else ("s", "v")
+    steps = _steps(edges.filter(F.col("s").isNotNull() & F.col("v").isNotNull()).select(near, far))
+    if steps is None:
+        return None
+    return sorted(_follow(steps, starts) | (set(starts) if zero else set()))
+
+
 def reach(edges: DataFrame, seeds: DataFrame, backward: bool = False, zero: bool = False) -> DataFrame:
     """[n]: the nodes reached from seeds [n] in one or more steps, with zero=True the seeds too.
 
@@ -52,8 +61,7 @@ def reach(edges: DataFrame, seeds: DataFrame, backward: bool = False, zero: bool
         starts = seeds.limit(SMALL + 1).collect()
         if len(starts) <= SMALL:
             known = _follow(few, (r.n for r in starts))
-            reached = spark.createDataFrame([(n,) for n in sorted(known)], seeds.schema)
-            return reached.union(seeds).distinct() if zero else reached
+            return numbers_frame(spark, n=sorted(known | {r.n for r in starts} if zero else known))
     new = steps.join(seeds, F.col("a") == F.col("n"), "left_semi").select(F.col("b").alias("n")).distinct().checkpoint()
     reached = new
     while not new.isEmpty():
@@ -74,7 +82,7 @@ def closure(edges: DataFrame, zero: bool = False) -> DataFrame:
             if len(found) > SMALL_PAIRS:
                 break
         else:
-            return edges.sparkSession.createDataFrame(found, edges.schema)
+            return numbers_frame(edges.sparkSession, s=[a for a, _ in found], v=[b for _, b in found])
     new = edges.checkpoint()
     steps, pairs = new.select(F.col("s").alias("v"), F.col("v").alias("t")), new
     while not new.isEmpty():

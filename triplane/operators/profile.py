@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.catalog import Graph
+from ..runtime import numbers_frame
 from .paths import closure, reach
 
 
@@ -54,8 +55,8 @@ def qualifier_sample(graph: Graph, pid: str, qualifier: str, k: int = 100) -> Da
 
 def domain_members(graph: Graph, cls: int) -> DataFrame:
     """[s]: instances of a class or of one of its subclasses."""
-    spark = graph.labels().sparkSession
-    classes = reach(graph.edges("P279"), spark.range(1).select(F.lit(cls).cast("bigint").alias("n")), backward=True, zero=True)
+    spark = graph.spark
+    classes = reach(graph.edges("P279"), numbers_frame(spark, n=[cls]), backward=True, zero=True)
     return graph.edges("P31").join(classes.withColumnRenamed("n", "v"), "v", "left_semi").select("s").distinct()
 
 

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import numbers_frame, table
 from .algebra import Unsupported
 
 
@@ -38,7 +38,8 @@ class Abstract:
 
 
 class Graph:
-    def __init__(self, properties: list[Property], domains: dict[str, int], labels: Callable[[], DataFrame], abstract: list[Abstract] = (), transitive: set[str] = frozenset(), descriptions: Callable[[], DataFrame] | None = None, bulk: Callable[[], DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, properties: list[Property], domains: dict[str, int], labels: Callable[[], DataFrame], abstract: list[Abstract] = (), transitive: set[str] = frozenset(), descriptions: Callable[[], DataFrame] | None = None, bulk: Callable[[], DataFrame] | None = None):
+        self.spark = spark
         self.properties = {p.pid: p for p in properties}
         self.names = {p.name: p.pid for p in [*properties, *abstract]}
         self.abstract = {a.pid: a for a in abstract}
@@ -87,26 +88,28 @@ CLASS_NAMES = "river city film museum bridge human band lake company book mounta
 def statement_graph(spark: SparkSession, directory: str) -> Graph:
     """The graph of the table `edges`, with the labels of `entities`; start and end are the qualifiers P580 and P582."""
 
+    t = lru_cache(None)(lambda name: table(spark, directory, name))
+
     def build(pid: str) -> Callable[[], DataFrame]:
-        return lambda: table(spark, directory, "edges").filter(F.col("pid") == pid).select("s", "v", F.col("q_start").alias("q_P580"), F.col("q_end").alias("q_P582"))
+        return lambda: t("edges").filter(F.col("pid") == pid).select("s", "v", F.col("q_start").alias("q_P580"), F.col("q_end").alias("q_P582"))
 
     names = {"P31": "instance_of", "P279": "subclass_of", "P9001": "location"} | {f"P{9101 + i}": n for i, n in enumerate(PROPERTY_NAMES)}
     times = {"P580": "value", "P582": "value"}
     properties = [Property(p, n, "entity", build(p), times) for p, n in names.items()]
-    qualifiers = [Property(p, n, "value", lambda c=c: table(spark, directory, "edges").select("s", F.col(c).alias("v"))) for p, n, c in (("P580", "start_time", "q_start"), ("P582", "end_time", "q_end"))]
+    qualifiers = [Property(p, n, "value", lambda c=c: t("edges").select("s", F.col(c).alias("v"))) for p, n, c in (("P580", "start_time", "q_start"), ("P582", "end_time", "q_end"))]
 
     def bulk() -> DataFrame:
-        return table(spark, directory, "edges").filter(F.col("pid").isin(*names)).select("s", "pid", "v", F.col("q_start").alias("q_P580"), F.col("q_end").alias("q_P582"))
+        return t("edges").filter(F.col("pid").isin(*names)).select("s", "pid", "v", F.col("q_start").alias("q_P580"), F.col("q_end").alias("q_P582"))
 
     def labels() -> DataFrame:
-        return table(spark, directory, "entities").select(F.expr("try_cast(substr(id, 2) AS bigint)").alias("id"), "label")
+        return t("entities").select(F.expr("try_cast(substr(id, 2) AS bigint)").alias("id"), "label")
 
     def descriptions() -> DataFrame:
-        return table(spark, directory, "entities").select(F.expr("try_cast(substr(id, 2) AS bigint)").alias("id"), F.concat_ws(" of the graph", F.col("domain_name"), F.lit("")).alias("text"))
+        return t("entities").select(F.expr("try_cast(substr(id, 2) AS bigint)").alias("id"), F.concat_ws(" of the graph", F.col("domain_name"), F.lit("")).alias("text"))
 
     abstract = [Abstract("P9801", "origin", "any", ["P9101", "P9123", "P9102"]), Abstract("P9802", "kin", "all", ["P9103", "P9129"])]
     domains = {"entity": 0} | {n: 6000001 + i for i, n in enumerate(CLASS_NAMES)}
-    return Graph([*properties, *qualifiers], domains, labels, abstract, descriptions=descriptions, bulk=bulk)
+    return Graph(spark, [*properties, *qualifiers], domains, labels, abstract, descriptions=descriptions, bulk=bulk)
 
 
 #: Where the entities of each table begin, and the classes of the trade graph.
@@ -119,8 +122,7 @@ KEYS = {"customer": ("customer", "c_custkey"), "supplier": ("supplier", "s_suppk
 def trade_graph(spark: SparkSession, directory: str) -> Graph:
     """A graph over the trade tables: parties, places, parts, orders with statements for their lines, and users' spans of activity."""
 
-    def t(name: str) -> DataFrame:
-        return table(spark, directory, name)
+    t = lru_cache(None)(lambda name: table(spark, directory, name))
 
     def node(kind: str, column: str):
         return F.col(column).cast("bigint") + F.lit(BASE[kind])
@@ -133,7 +135,7 @@ def trade_graph(spark: SparkSession, directory: str) -> Graph:
         return lambda: reduce(DataFrame.union, [p() for p in parts])
 
     instances = union(*(direct(kind, key, F.lit(CLASSES[kind]).cast("bigint")) for kind, (_, key) in KEYS.items()))
-    subclasses = lambda: spark.createDataFrame(SUBCLASSES, "s bigint, v bigint")
+    subclasses = lambda: numbers_frame(spark, s=[a for a, _ in SUBCLASSES], v=[b for _, b in SUBCLASSES])
     in_nation = union(direct("customer", "", node("nation", "c_nationkey")), direct("supplier", "", node("nation", "s_nationkey")))
     in_region = direct("nation", "", node("region", "n_regionkey"))
 
@@ -166,4 +168,4 @@ def trade_graph(spark: SparkSession, directory: str) -> Graph:
         return reduce(DataFrame.union, [t(KEYS[k][0]).select(node(k, KEYS[k][1]).alias("id"), F.col(c).alias("label")) for k, c in named])
 
     abstract = [Abstract("P8801", "place", "any", ["P30", "P17", "P131"]), Abstract("P8802", "whereabouts", "all", ["P17", "P30"])]
-    return Graph(properties, {"entity": 0} | CLASSES, labels, abstract, {"P131"})
+    return Graph(spark, properties, {"entity": 0} | CLASSES, labels, abstract, {"P131"})

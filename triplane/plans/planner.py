@@ -18,11 +18,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.paths import closure, reach
+from ..operators.paths import closure, reach, reach_few
+from ..runtime import numbers_frame
 from .algebra import AnyOf, Absent, Agg, Alt, Bind, Call, Ent, Filter, Inv, Label, Lit, Maybe, Prop, Query, Repeat, Seq, Stmt, Sub, Triple, Unsupported, Values, Var, variables
 from .catalog import Graph
 
 UNIT = "__unit"
+#: Nodes up to which a path's ends are a filter instead of a join.
+FEW = 1000
 
 
 @dataclass
@@ -76,7 +79,10 @@ class Planner:
         return out
 
     def ends(self, path, start, backward: bool) -> DataFrame:
-        """[n]: where a path leads from a constant or from nodes [n]; backward, from where it leads there."""
+        """[n], or a list of few nodes: where a path leads from a constant or from nodes; backward, from where it leads there.
+
+        Few nodes stay a list, as a filter by them reaches the scans and cuts off branches of unions.
+        """
         if isinstance(path, Inv):
             return self.ends(path.path, start, not backward)
         if isinstance(path, Seq):
@@ -84,17 +90,27 @@ class Planner:
                 start = self.ends(part, start, backward)
             return start
         if isinstance(path, Alt):
-            return reduce(DataFrame.union, [self.ends(p, start, backward) for p in path.parts])
+            return reduce(DataFrame.union, [self.nodes(self.ends(p, start, backward)) for p in path.parts])
         if isinstance(path, Repeat):
-            return reach(self.pairs(path.path), self.nodes(start), backward, path.zero)
+            pairs = self.pairs(path.path)
+            if not isinstance(start, DataFrame):
+                ids = start if isinstance(start, list) else [start.id]
+                few = reach_few(pairs, ids, backward, path.zero)
+                if few is not None and len(few) <= FEW:
+                    return few
+            return reach(pairs, self.nodes(start), backward, path.zero)
         near, far = ("v", "s") if backward else ("s", "v")
         edges = self.graph.edges(path.pid).select(F.col(near).alias("a"), F.col(far).alias("n"))
         if isinstance(start, DataFrame):
             return edges.join(start.select(F.col("n").alias("a")), "a").select("n")
+        if isinstance(start, list):
+            return edges.filter(F.col("a").isin(start)).select("n")
         return edges.filter(F.col("a") == self.constant(start)).select("n")
 
     def nodes(self, start) -> DataFrame:
-        return start if isinstance(start, DataFrame) else self.graph.labels().sparkSession.range(1).select(self.constant(start).alias("n"))
+        if isinstance(start, DataFrame):
+            return start
+        return numbers_frame(self.graph.spark, n=start if isinstance(start, list) else [start.id])
 
     @staticmethod
     def constant(term) -> Column:
@@ -117,7 +133,7 @@ class Planner:
         if isinstance(p, Values):
             rows = [(t.id if isinstance(t, Ent) else t.value,) for t in p.terms]
             kind = "entity" if isinstance(p.terms[0], Ent) else "value"
-            df = self.graph.labels().sparkSession.createDataFrame(rows, f"`{p.var.name}` {'bigint' if kind == 'entity' else 'string' if isinstance(rows[0][0], str) else 'double'}")
+            df = self.graph.spark.createDataFrame(rows, f"`{p.var.name}` {'bigint' if kind == 'entity' else 'string' if isinstance(rows[0][0], str) else 'double'}")
             return Frame(df, {p.var.name: kind})
         if isinstance(p, Sub):
             df = self.run(p.query, show=False)
@@ -149,9 +165,9 @@ class Planner:
         s, o = t.s, t.o
         if isinstance(path, (Seq, Repeat)) and not (isinstance(s, Var) and isinstance(o, Var)):
             if isinstance(o, Var):
-                nodes = self.ends(path, s, False)
+                nodes = self.nodes(self.ends(path, s, False))
                 return Frame(nodes.select(F.col("n").alias(o.name)), {o.name: self.kind(path, "v")})
-            nodes = self.ends(path, o, True)
+            nodes = self.nodes(self.ends(path, o, True))
             if isinstance(s, Var):
                 return Frame(nodes.select(F.col("n").alias(s.name)), {s.name: "entity"})
             return Frame(nodes.filter(F.col("n") == self.constant(s)).select(F.lit(1).alias(UNIT)), {})

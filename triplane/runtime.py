@@ -54,3 +54,10 @@ def key128(column) -> list:
     texts with probability 2**-128.
     """
     return [F.xxhash64(column), F.xxhash64(F.lit("\u0001"), column)]
+
+
+def numbers_frame(spark: SparkSession, **columns: list[int]) -> DataFrame:
+    """A small DataFrame of BIGINT columns that the optimizer sees as literal rows, so no job and no Python worker makes it."""
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()}))
