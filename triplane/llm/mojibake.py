@@ -130,8 +130,12 @@ def ordinary(c: str) -> bool:
     )
 
 
-def reread(run: str) -> str | None:
-    """A run of foreign characters decoded back by one chain, again and again while that works; None if it is no garbled UTF-8."""
+def reread(run: str, inside: bool = False) -> str | None:
+    """A run of foreign characters decoded back by one chain, again and again while that works; None if it is no garbled UTF-8.
+
+    A single character comes out of a Cyrillic encoding only `inside` a word of Latin letters: by itself
+    such a run can be a word ("Её").
+    """
     for wrong in WRONG:
         to_byte = _to_byte(wrong)
         try:
@@ -141,7 +145,7 @@ def reread(run: str) -> str | None:
             continue
         if text == run or not all(map(ordinary, text)) or any(0x80 <= ord(c) < 0xA0 for c in text) and not reread(text):
             continue
-        if len(text) < 2 and wrong in ("cp1251", "koi8_r", "cp866"):
+        if len(text) < 2 and not inside and wrong in ("cp1251", "koi8_r", "cp866"):
             continue
         return reread(text) or text
     return None
@@ -153,7 +157,8 @@ def repaired(word: str) -> str | None:
 
     def back(m: re.Match) -> str:
         nonlocal found
-        text = reread(m[0])
+        beside = word[m.start() - 1 : m.start()] + word[m.end() : m.end() + 1]
+        text = reread(m[0], any(map(str.isalpha, beside)))
         found |= text is not None
         return m[0] if text is None else text
 
