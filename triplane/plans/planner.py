@@ -131,10 +131,11 @@ class Planner:
             names = sorted(set.intersection(*(set(f.names) for f in parts)))
             return Frame(reduce(DataFrame.union, [f.df.select(*names) for f in parts]), parts[0].kinds)
         if isinstance(p, Values):
-            rows = [(t.id if isinstance(t, Ent) else t.value,) for t in p.terms]
-            kind = "entity" if isinstance(p.terms[0], Ent) else "value"
-            df = self.graph.spark.createDataFrame(rows, f"`{p.var.name}` {'bigint' if kind == 'entity' else 'string' if isinstance(rows[0][0], str) else 'double'}")
-            return Frame(df, {p.var.name: kind})
+            if isinstance(p.terms[0], Ent):
+                return Frame(numbers_frame(self.graph.spark, **{p.var.name: [t.id for t in p.terms]}), {p.var.name: "entity"})
+            values = [(t.value,) for t in p.terms]
+            kind = "string" if isinstance(values[0][0], str) else "double"
+            return Frame(self.graph.spark.createDataFrame(values, f"`{p.var.name}` {kind}"), {p.var.name: "value"})
         if isinstance(p, Sub):
             df = self.run(p.query, show=False)
             return df

@@ -91,3 +91,10 @@ def answers(result: DataFrame) -> list[str]:
     """A result as the list of its first column's values; yes/no questions as "true" or "false". For results that a person reads."""
     first = result.columns[0]
     return [r[0] for r in result.select(F.col(first).cast("string")).filter(F.col(first).isNotNull()).toLocalIterator()]
+
+
+def sparql_to_tt(graph: Graph, text: str) -> str:
+    """A query text as a TT program."""
+    from .decompile import program_of
+
+    return program_of(graph, sparql.parse(text))

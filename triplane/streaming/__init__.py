@@ -1 +1 @@
-"""See the modules."""
+"""An extension beyond the batch engine: events and statements as streams."""
