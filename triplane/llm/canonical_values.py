@@ -20,14 +20,14 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import table, use_checkpoints
 
 #: Least soft TF-IDF similarity of an entry.
 ACCEPTED = 0.8
 #: Similarity of a token that was repaired, and of an abbreviation to its word.
 REPAIRED, SHORT = 0.95, 0.9
-#: Shortest token that is repaired.
-REPAIRABLE = 4
+#: Shortest token that is repaired, and longest abbreviation.
+REPAIRABLE, SHORTEST = 4, 4
 #: Words that say nothing about which thing is meant.
 FREE = frozenset("the a an of de la le el les der die das du da do s etc and".split())
 #: Letters of other scripts that look like Latin ones, and those.
@@ -110,7 +110,7 @@ def repairs(strings: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def short_for(short: str, word: str) -> bool:
     """Whether a token can be an abbreviation of a word: an initial, or a few of its letters in their order."""
-    if len(short) > 4 or len(short) >= len(word) or short[0] != word[0]:
+    if len(short) > SHORTEST or len(short) >= len(word) or short[0] != word[0]:
         return False
     rest = iter(word)
     return all(c in rest for c in short)
@@ -141,30 +141,42 @@ def rank(tokens: list[str], repaired: dict[str, dict[str, float]], entry: dict[s
 def best_entries(queries: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """(value, domain, id): the closest entry of each distinct value, if one is accepted.
 
-    On a tie the smallest id counts. A domain that isn't null leaves only its entities.
+    On a tie the smallest id counts. A domain that isn't null leaves only its entities. Distinct values,
+    entries, vocabulary and repairs are checkpointed: several steps read each of them.
     """
     import pyarrow as pa
 
+    use_checkpoints(queries.sparkSession)
     entries = with_tokens(
         entities.select(F.col("label").alias("value"), F.col("id").alias("domain")).union(aliases.select(F.col("alias"), "id")).distinct()
     ).select(F.col("domain").alias("id"), F.array_distinct("tokens").alias("words"))
-    entries = entries.join(entities.select("id", F.col("domain_name").alias("of")), "id").filter(F.size("words") > 0)
+    entries = entries.join(entities.select("id", F.col("domain_name").alias("of")), "id").filter(F.size("words") > 0).checkpoint()
     total = entries.select("id").distinct().count()
     words = entries.select("id", F.explode("words").alias("word")).groupBy("word").agg(F.countDistinct("id").alias("df"))
-    words = words.select("word", F.log(1 + total / F.col("df")).alias("w"))
+    words = words.select("word", F.log(1 + total / F.col("df")).alias("w")).checkpoint()
+    queries = queries.checkpoint()
 
     tokens = queries.select("value", "domain", "tokens", F.explode("tokens").alias("token"))
-    fixed = repairs(tokens, words).join(words, "word")
+    # A domain's name may stand beside an entity's: it is known too, as no word (empty, without weight).
+    domains = entities.select(F.lower("domain_name").alias("token")).filter("token IS NOT NULL").distinct()
+    named = tokens.select("token").distinct().join(domains, "token", "left_semi").select(F.lit("").alias("word"), "token", F.lit(0.0).alias("sim"), F.lit(0.0).alias("w"))
+    fixed = repairs(tokens, words).join(words, "word").select("word", "token", "sim", "w").union(named).checkpoint()
     mended = tokens.join(fixed, "token", "left").groupBy("value", "domain", "tokens").agg(F.collect_set(F.struct("token", "word", "sim", "w")).alias("fixes"))
 
     def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each value with those of its words without which no entry can be accepted (a prefix filter on weights)."""
+        """Each value with those of its words without which no entry can be accepted (a prefix filter on weights).
+
+        A value with a word that is neither known, free nor short enough for an abbreviation has none: no entry is accepted for it.
+        """
         for batch in batches:
             at, out = [], []
             for n, (ts, fixes) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                known = {f["token"] for f in fixes if f["word"] is not None}
+                if any(t not in known and t not in FREE and len(t) > SHORTEST for t in ts):
+                    continue
                 weight: dict[str, float] = {}
                 for f in fixes:
-                    if f["word"] is not None:
+                    if f["word"]:
                         weight[f["word"]] = max(weight.get(f["word"], 0.0), f["w"])
                 least, light = ACCEPTED**2 * sum(w * w for t, w in weight.items() if t not in FREE), 0.0
                 for t, w in sorted(weight.items(), key=lambda x: (x[1], x[0])):
@@ -187,7 +199,7 @@ def best_entries(queries: DataFrame, entities: DataFrame, aliases: DataFrame) ->
             for ts, fx, of, weights in zip(*(batch.column(c).to_pylist() for c in ("tokens", "fixes", "of", "weights"))):
                 repaired: dict[str, dict[str, float]] = {}
                 for f in fx:
-                    if f["word"] is not None:
+                    if f["word"]:
                         repaired.setdefault(f["token"], {})[f["word"]] = f["sim"]
                 scores.append(rank(ts, repaired, {x["word"]: x["w"] for x in weights}, of))
             yield pa.RecordBatch.from_arrays([batch.column("value"), batch.column("domain"), batch.column("id"), pa.array(scores, pa.float64())], ["value", "domain", "id", "score"])
