@@ -258,3 +258,18 @@ def test_garbled_documents(spark):
     first = len(texts) - len(bad)
     assert fixed[first] == "Die Größe" and fixed[first + 1] == "Кто добавил" and fixed[first + 2] == "словарь x" and fixed[first + 3] == "déjà vue"
     assert mojibake.garbled(df.limit(0)).collect() == []
+
+
+def test_copies_of_garbled_documents(spark):
+    words = "Добавил словарь озера города реки каталога"
+    sound = [f"{words} {i}" for i in range(8)] + [f"{words.upper()} {i}" for i in range(3)]
+    other = [mojibake.misread(words.encode("cp1251"), wrong) for wrong in ("cp1252", "koi8_r", "mac_roman", "cp866")]
+    french = "une déjà vue, élève forêt très âgée"
+    other += [mojibake.misread("déjà élève forêt".encode("cp1252"), wrong) for wrong in ("cp437", "cp850")]
+    texts = sound + [f"{french} {i}" for i in range(3)] + [x for x in other for _ in range(30)]
+    # Near copies: each text is another one.
+    texts += [f"{other[1]} {i}" for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id for r in mojibake.garbled(df).collect()} == set(range(len(sound) + 3, len(texts)))
+    fixed = {r.doc_id: r.text for r in mojibake.restored(df).collect()}
+    assert fixed[len(texts) - 1] == f"{words} 99" and fixed[len(sound) + 3] == words

@@ -2,7 +2,7 @@
 
 Every distinct clean word of the corpus is garbled under all chains of a right and a wrong encoding,
 and the documents' words are hash-joined with that table: a word that is a garbled form of a clearly
-more frequent word is garbled, and that word is its original. Words whose original is nowhere in the
+more frequent word is garbled, and that word is its original. How frequent a word is counts in distinct texts. Words whose original is nowhere in the
 corpus (most invented names) are decoded back by the same chains, and count if every run of foreign
 characters in them comes out as well-formed UTF-8 of ordinary characters.
 
@@ -14,14 +14,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table, use_checkpoints
+from ..runtime import key128, table, use_checkpoints
 
 #: Single-byte encodings that text is wrongly decoded with, in order of preference for repair.
 WRONG = ["cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8_r", "cp866"]
@@ -33,12 +33,14 @@ DOUBLE_BYTE = ["shift_jis", "euc_jp"]
 TWICE = [(a, b) for a in ("cp1252", "cp437", "mac_roman") for b in ("cp1252", "cp437", "mac_roman")]
 #: A well-formed word is a garbled form only of a word in this many times as many documents.
 RATIO = 4
+#: Forms of one chain in one text that are garbled whatever their frequency.
+SEVERAL = 3
 LOST = "�"
 OPENING, CLOSING = "\"'`“”‘’«»„‹›", "\"'`“”‘’«»‹›"
 _ASCII_EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 _EDGES = _ASCII_EDGES + "“”‘’«»„‹›—–…¿¡、。「」"
 _AFTER = ".,;:!?)]"
-_SPACE = str.maketrans(dict.fromkeys("\t\n\r\x0b\x0c", " "))
+_SPACE = "\t\n\r\x0b\x0c"
 _RUN = re.compile(r"[^\x00-\x7f]+")
 
 
@@ -70,29 +72,28 @@ def misread(raw: bytes, wrong: str) -> str:
     return raw.decode("latin-1").translate(_to_wrong(wrong))
 
 
-def garbled_forms(word: str) -> set[str]:
-    """All forms of a clean word under the chains, without the word itself."""
-    utf8, forms = word.encode("utf-8", "replace"), set()
+def garbled_forms(word: str) -> dict[str, int]:
+    """All forms of a clean word under the chains, without the word itself; each with the chains that give it, a bit for each."""
+    utf8, forms, chain = word.encode("utf-8", "replace"), defaultdict(int), 0
     for wrong in [*WRONG, "latin-1"]:
-        forms.add(misread(utf8, wrong))
+        forms[misread(utf8, wrong)] |= 1 << chain
+        chain += 1
     for first, second in TWICE:
-        forms.add(misread(misread(utf8, first).encode("utf-8"), second))
-    for right, wrong in SINGLE_BYTE:
+        forms[misread(misread(utf8, first).encode("utf-8"), second)] |= 1 << chain
+        chain += 1
+    for right, wrong in [*SINGLE_BYTE, *((right, "cp1252") for right in DOUBLE_BYTE)]:
         try:
-            forms.add(misread(word.encode(right), wrong))
-        except UnicodeEncodeError:
-            pass
-    for right in DOUBLE_BYTE:
-        try:
-            forms.add(misread(word.encode(right), "cp1252"))
+            forms[misread(word.encode(right), wrong)] |= 1 << chain
         except UnicodeEncodeError:
             pass
+        chain += 1
     for right in ("cp1252", "cp1251"):
         try:
-            forms.add(word.encode(right).decode("utf-8", "replace"))
+            forms[word.encode(right).decode("utf-8", "replace")] |= 1 << chain
         except UnicodeEncodeError:
             pass
-    forms.discard(word)
+        chain += 1
+    forms.pop(word, None)
     return forms
 
 
@@ -119,6 +120,11 @@ def well_formed(word: str) -> bool:
     return all(p.lower() == p.upper() or p.islower() or p.isupper() or p[0].isupper() and p[1:].islower() for p in parts)
 
 
+def speakable(word: str) -> bool:
+    """Whether a Cyrillic word has the vowels of one; letters of a word read in another Cyrillic encoding mostly don't."""
+    return len(word) > 3 and 0.2 <= sum(c in "аеёиоуыэюяіїє" for c in word.lower()) / len(word) <= 0.7
+
+
 def ordinary(c: str) -> bool:
     """Whether a character is one that texts are made of, as against one that bytes give by chance."""
     n = ord(c)
@@ -176,45 +182,48 @@ def foreign_words(text: str) -> set[str]:
     """The words of a text with foreign characters, without the ASCII punctuation around them and without quoted sequences."""
     if text.isascii():
         return set()
-    tokens = {t for t in text.translate(_SPACE).split(" ") if not t.isascii()}
+    for c in _SPACE:
+        text = text.replace(c, " ")
+    tokens = {t for t in text.split(" ") if not t.isascii()}
     return {t.strip(_ASCII_EDGES) for t in tokens if not quoted(t)}
 
 
-def word_counts(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(word, df): the words with foreign characters and in how many documents each is; added up within batches first."""
+def text_words(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(t1, t2, words): each distinct text with foreign characters once, by its hash, with those words separated by spaces."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter[str] = Counter()
-            for t in batch.column(0).to_pylist():
-                if t:
-                    counts.update(foreign_words(t))
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+            words = [" ".join(sorted(foreign_words(t))) if t else "" for t in batch.column(2).to_pylist()]
+            at = pa.array([n for n, w in enumerate(words) if w], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(filter(None, words), pa.string())], ["t1", "t2", "words"])
 
-    return documents.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("df"))
+    return hashed(documents, text).select("t1", "t2", text).mapInArrow(run, "t1 bigint, t2 bigint, words string").distinct()
 
 
-def form_table(counts: DataFrame) -> DataFrame:
-    """(form, original, original_df): the garbled forms of every distinct clean word.
+def hashed(documents: DataFrame, text: str = "text") -> DataFrame:
+    first, second = key128(text)
+    return documents.filter(F.col(text).isNotNull()).withColumns({"t1": first, "t2": second})
 
-    A word of one document is left out as an original, since it can't be more frequent than a form of it.
-    """
+
+def form_table(counts: DataFrame) -> DataFrame:
+    """(form, original, original_df, chains): the garbled forms of every distinct clean word."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            forms, originals, dfs = [], [], []
+            forms, originals, dfs, chains = [], [], [], []
             for word, df in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 clean = word.strip(_EDGES)
                 if clean and not clean.isascii() and well_formed(clean):
                     new = garbled_forms(clean)
                     forms += new
+                    chains += new.values()
                     originals += [clean] * len(new)
                     dfs += [df] * len(new)
-            yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), pa.array(originals, pa.string()), pa.array(dfs, pa.int64())], ["form", "original", "original_df"])
+            yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), pa.array(originals, pa.string()), pa.array(dfs, pa.int64()), pa.array(chains, pa.int64())], ["form", "original", "original_df", "chains"])
 
-    return counts.filter("df > 1").mapInArrow(run, "form string, original string, original_df bigint")
+    return counts.mapInArrow(run, "form string, original string, original_df bigint, chains bigint")
 
 
 def repaired_words(counts: DataFrame) -> DataFrame:
@@ -230,52 +239,73 @@ def repaired_words(counts: DataFrame) -> DataFrame:
     return counts.select("word").mapInArrow(run, "word string, original string")
 
 
-def garbled_words(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(word, original): each distinct garbled word once, with its original where that is known.
+def garbled_words(texts: DataFrame) -> DataFrame:
+    """(t1, t2, word, original): the garbled words of each distinct text, with their originals where these are known.
 
-    Of several originals the most frequent counts, on a tie the first in order. The word counts are
-    checkpointed: three steps read them, and counting takes a pass over the texts.
+    Of several originals the most frequent counts, on a tie the first in order. df counts distinct texts,
+    so copies of a garbled one don't make its words frequent. Where near copies do, SEVERAL forms of one
+    chain in one text are garbled whatever their df, if one of them at least can't be a clean word
+    and the others have no ASCII letters.
+    Word counts and met forms are checkpointed: several steps read them.
     """
     import pyarrow as pa
 
-    def shaped(words: pa.Array) -> pa.Array:
-        return pa.array([well_formed(w) for w in words.to_pylist()])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, shaped(batch.column(0))], ["word", "df", "original", "original_df", "shaped"])
-
-    use_checkpoints(documents.sparkSession)
-    counts = word_counts(documents, text).checkpoint()
-    met = counts.join(form_table(counts), F.col("word") == F.col("form")).filter("original_df > df").select("word", "df", "original", "original_df")
-    met = met.mapInArrow(run, "word string, df bigint, original string, original_df bigint, shaped boolean")
+            words, originals = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            shaped = pa.array([well_formed(w) for w in words], pa.bool_())
+            better = pa.array([speakable(o) and not speakable(w) and len(w) > 3 for w, o in zip(words, originals)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns, shaped, better], ["word", "df", "original", "original_df", "chains", "shaped", "better"])
+
+    words = texts.select("t1", "t2", F.explode(F.split("words", " ")).alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("df")).checkpoint()
+    met = counts.join(form_table(counts), F.col("word") == F.col("form")).select("word", "df", "original", "original_df", "chains")
     # A single letter is a form of other single letters by chance: clean texts hold such letters too.
-    joined = met.filter("length(word) > 1").filter(f"NOT shaped OR original_df >= {RATIO} * df")
+    met = met.filter("length(word) > 1").mapInArrow(run, "word string, df bigint, original string, original_df bigint, chains bigint, shaped boolean, better boolean").checkpoint()
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out, originals = [], [], []
+            for n, forms in enumerate(batch.column(2).to_pylist()):
+                of_chain = defaultdict(list)
+                for f in forms:
+                    for chain in range(f["chains"].bit_length()):
+                        if f["chains"] >> chain & 1:
+                            of_chain[chain].append(f)
+                best: dict[str, tuple[int, str]] = {}
+                for fs in of_chain.values():
+                    if len({f["word"] for f in fs}) >= SEVERAL and not all(f["shaped"] for f in fs):
+                        for f in fs:
+                            best[f["word"]] = min(best.get(f["word"], (1, "")), (-f["original_df"], f["original"]))
+                at += [n] * len(best)
+                out += best
+                originals += [o for _, o in best.values()]
+            k = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(k), batch.column(1).take(k), pa.array(out, pa.string()), pa.array(originals, pa.string())], ["t1", "t2", "word", "original"])
+
+    # A clean word with one foreign letter can be a form of a garbled one: "Don’t" of "Donít".
+    directed = met.filter("length(word) > 2 AND NOT (shaped AND word RLIKE '[A-Za-z]')").select("word", "original", "original_df", "chains", "shaped")
+    forms = words.join(directed, "word").groupBy("t1", "t2").agg(F.collect_list(F.struct("word", "original", "original_df", "chains", "shaped")).alias("forms"), F.bool_and("shaped").alias("sound"))
+    forms = forms.filter(~F.col("sound") & (F.size("forms") >= SEVERAL)).drop("sound")
+    together = forms.mapInArrow(several, "t1 bigint, t2 bigint, word string, original string").withColumn("rank", F.lit(2))
+    # What is garbled in a text by itself is no original, however many texts have it.
+    wrong = together.groupBy("word").agg(F.min("original").alias("right")).checkpoint()
+    joined = met.filter(f"original_df >= df AND (NOT shaped OR better OR original_df >= {RATIO} * df)")
+    joined = joined.join(wrong.select(F.col("word").alias("original")), "original", "left_anti")
     best = joined.groupBy("word").agg(F.min(F.struct((-F.col("original_df")).alias("rank"), "original")).alias("best")).select("word", "best.original", F.lit(1).alias("rank"))
     either = best.unionByName(repaired_words(counts).withColumn("rank", F.lit(2)))
-    return either.groupBy("word").agg(F.min(F.when(F.col("original").isNotNull(), F.struct("rank", "original"))).alias("best")).select("word", F.col("best.original").alias("original"))
-
-
-def document_words(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, word): the distinct words with foreign characters of each document."""
-    import pyarrow as pa
-
-    kind = documents.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        for batch in batches:
-            words = [sorted(foreign_words(t)) if t else [] for t in batch.column(1).to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(words)), [len(w) for w in words]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([x for w in words for x in w], pa.string())], [key, "word"])
-
-    return documents.select(key, text).mapInArrow(run, f"{key} {kind}, word string")
+    known = either.groupBy("word").agg(F.min(F.when(F.col("original").isNotNull(), F.struct("rank", "original"))).alias("best")).select("word", F.col("best.original").alias("original"))
+    told = words.join(known, "word").select("t1", "t2", "word", "original", F.lit(1).alias("rank"))
+    best = F.min(F.when(F.col("original").isNotNull(), F.struct("rank", "original")))
+    both = told.unionByName(together).groupBy("t1", "t2", "word").agg(best.alias("best")).select("t1", "t2", "word", F.col("best.original").alias("original"))
+    both = both.join(wrong.select(F.col("word").alias("original"), "right"), "original", "left")
+    return both.select("t1", "t2", "word", F.coalesce("right", "original").alias("original"))
 
 
 def garbled(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key): the documents some of whose text is garbled. Null and empty texts are none; repeated keys come once."""
-    return document_words(documents, key, text).join(garbled_words(documents, text), "word", "left_semi").select(key).distinct()
+    use_checkpoints(documents.sparkSession)
+    found = garbled_words(text_words(documents, text).checkpoint()).select("t1", "t2").distinct()
+    return hashed(documents, text).select(key, "t1", "t2").join(found, ["t1", "t2"], "left_semi").select(key).distinct()
 
 
 def restored(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -285,7 +315,9 @@ def restored(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """
     import pyarrow as pa
 
-    words = document_words(documents, key, text).join(garbled_words(documents, text), "word").groupBy(key).agg(F.collect_list(F.struct("word", "original")).alias("words"))
+    use_checkpoints(documents.sparkSession)
+    found = garbled_words(text_words(documents, text).checkpoint())
+    words = found.groupBy("t1", "t2").agg(F.collect_list(F.struct("word", "original")).alias("words"))
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +335,7 @@ def restored(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 n_lost.append(len(pairs) - len(known))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(n_restored, pa.int32()), pa.array(n_lost, pa.int32())], [key, "text", "n_restored", "n_lost"])
 
-    return documents.select(key, text).join(words, key).select(key, text, "words").mapInArrow(run, f"{key} {kind}, text string, n_restored int, n_lost int")
+    return hashed(documents, text).select(key, text, "t1", "t2").join(words, ["t1", "t2"]).select(key, text, "words").mapInArrow(run, f"{key} {kind}, text string, n_restored int, n_lost int")
 
 
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:
