@@ -273,3 +273,15 @@ def test_copies_of_garbled_documents(spark):
     assert {r.doc_id for r in mojibake.garbled(df).collect()} == set(range(len(sound) + 3, len(texts)))
     fixed = {r.doc_id: r.text for r in mojibake.restored(df).collect()}
     assert fixed[len(texts) - 1] == f"{words} 99" and fixed[len(sound) + 3] == words
+
+
+def test_originals_that_are_nowhere_else(spark):
+    japanese = "このデータはカタログに登録されています。"
+    french = "déjà élève forêt"
+    bad = [mojibake.misread(japanese.encode(right), "cp1252") for right in mojibake.DOUBLE_BYTE]
+    bad += [mojibake.misread(french.encode("cp1252"), "cp437"), mojibake.misread("Добавил словарь озера".encode("cp1251"), "cp1252")]
+    sound = ["répétée éléphant Žižek Škoda", "10 µmol αmax °C", "ÀÉÈÊ", "Россия ТРУХА хруст", japanese[:6] + " x"]
+    df = spark.createDataFrame(list(enumerate(bad + sound)), "doc_id bigint, text string")
+    assert {r.doc_id for r in mojibake.garbled(df).collect()} == set(range(4))
+    fixed = {r.doc_id: r.text for r in mojibake.restored(df).collect()}
+    assert fixed[1] == japanese and fixed[2] == french and fixed[3] == "Добавил словарь озера"

@@ -3,8 +3,9 @@
 Every distinct clean word of the corpus is garbled under all chains of a right and a wrong encoding,
 and the documents' words are hash-joined with that table: a word that is a garbled form of a clearly
 more frequent word is garbled, and that word is its original. How frequent a word is counts in distinct texts. Words whose original is nowhere in the
-corpus (most invented names) are decoded back by the same chains, and count if every run of foreign
-characters in them comes out as well-formed UTF-8 of ordinary characters.
+corpus (most invented names) are decoded back by the same chains: they count if every run of foreign
+characters in them comes out as well-formed UTF-8 of ordinary characters or as plain Japanese, and from
+single-byte chains if several words of the text come out well-formed by one chain.
 
 A garbled sequence that stands alone in quotation marks is quoted in order to talk about it and counts
 for nothing.
@@ -39,6 +40,7 @@ LOST = "�"
 OPENING, CLOSING = "\"'`“”‘’«»„‹›", "\"'`“”‘’«»‹›"
 _ASCII_EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 _EDGES = _ASCII_EDGES + "“”‘’«»„‹›—–…¿¡、。「」"
+_ACCENTS = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýßÿœÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŒ’"
 _AFTER = ".,;:!?)]"
 _SPACE = "\t\n\r\x0b\x0c"
 _RUN = re.compile(r"[^\x00-\x7f]+")
@@ -172,6 +174,75 @@ def repaired(word: str) -> str | None:
     return out if found else None
 
 
+_JAPANESE = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff]")
+_KANA = re.compile(r"[\u3040-\u30ff]")
+_NOT_JAPANESE = re.compile(r"[^\x20-\x7e\u3000-\u30ff\u4e00-\u9fff\uff01-\uff5e]")
+
+
+def double_byte(word: str) -> tuple[str, bool] | None:
+    """A word decoded back to plain Japanese, and whether all of it was; None if it isn't that.
+
+    The last byte may be half a character, as ASCII punctuation at the end of a word is cut off. Kanji
+    alone count only for EUC-JP, which leaves no ASCII between, and if they are of the first level.
+    """
+    to_byte = _to_byte("cp1252")
+    try:
+        raw = bytes([to_byte[ord(c)] for c in word])
+    except KeyError:
+        return None
+    for right in DOUBLE_BYTE:
+        for cut in (raw, raw[:-1]):
+            try:
+                text = cut.decode(right)
+            except UnicodeDecodeError:
+                continue
+            letters = _JAPANESE.findall(text)
+            if len(letters) < 2 or _NOT_JAPANESE.search(text):
+                continue
+            common = right == "euc_jp" and len(letters) > 2 and all(_KANA.match(c) or c.encode(right) < b"\xd0" for c in letters)
+            if common or len(_KANA.findall(text)) >= 2:
+                return text, cut is raw
+    return None
+
+
+def single_byte(word: str) -> list[tuple[str, int]]:
+    """What a word of a single-byte chain may have been, each with the chain's bit; only words that can't be clean, or have no ASCII letter."""
+    letters = sum(map(str.isalpha, word))
+    if letters < 3 or well_formed(word) and any(c.isascii() and c.isalpha() for c in word):
+        return []
+    out = []
+    for n, (right, wrong) in enumerate(SINGLE_BYTE, len(WRONG) + 1 + len(TWICE)):
+        to_byte = _to_byte(wrong)
+        try:
+            text = bytes([to_byte[ord(c)] for c in word]).decode(right)
+        except (KeyError, UnicodeDecodeError):
+            continue
+        core = text.strip(_EDGES)
+        if text == word or core.isascii() or not well_formed(core) or not core.replace("-", "").replace("’", "").isalpha():
+            continue
+        cyrillic = all(0x400 <= ord(c) < 0x530 for c in core if c.isalpha())
+        if speakable(core) if cyrillic else all(c.isascii() or c in _ACCENTS for c in core):
+            out.append((text, 1 << n))
+    return out
+
+
+def decoded_words(counts: DataFrame) -> DataFrame:
+    """(word, df, original, original_df, chains, shaped, better): words decoded back by single-byte chains, as if met with an original of no text.
+
+    Latin letters all of which are accented are no clean word.
+    """
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(w, df, o, 0, chain, well_formed(w) and w[0] >= "\u0250", False) for w, df in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for o, chain in single_byte(w)]
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["word", "df", "original", "original_df", "chains", "shaped", "better"])
+
+    return counts.select("word", "df").mapInArrow(run, "word string, df bigint, original string, original_df bigint, chains bigint, shaped boolean, better boolean")
+
+
 def quoted(token: str) -> bool:
     """Whether a token is one sequence in quotation marks, apart from what follows them."""
     t = token.rstrip(_AFTER).lstrip("([")
@@ -232,8 +303,13 @@ def repaired_words(counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [(w, None if LOST in w else repaired(w)) for w in batch.column(0).to_pylist()]
-            kept = [x for x in words if LOST in x[0] or x[1] is not None]
+            kept = []
+            for w in batch.column(0).to_pylist():
+                original = None if LOST in w else repaired(w)
+                if LOST in w or original is not None:
+                    kept.append((w, original))
+                elif (back := double_byte(w)) is not None:
+                    kept.append((w, back[0] if back[1] else None))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.string()), pa.array([x[1] for x in kept], pa.string())], ["word", "original"])
 
     return counts.select("word").mapInArrow(run, "word string, original string")
@@ -284,6 +360,7 @@ def garbled_words(texts: DataFrame) -> DataFrame:
 
     # A clean word with one foreign letter can be a form of a garbled one: "Don’t" of "Donít".
     directed = met.filter("length(word) > 2 AND NOT (shaped AND word RLIKE '[A-Za-z]')").select("word", "original", "original_df", "chains", "shaped")
+    directed = directed.unionByName(decoded_words(counts).select(directed.columns))
     forms = words.join(directed, "word").groupBy("t1", "t2").agg(F.collect_list(F.struct("word", "original", "original_df", "chains", "shaped")).alias("forms"), F.bool_and("shaped").alias("sound"))
     forms = forms.filter(~F.col("sound") & (F.size("forms") >= SEVERAL)).drop("sound")
     together = forms.mapInArrow(several, "t1 bigint, t2 bigint, word string, original string").withColumn("rank", F.lit(2))
