@@ -145,3 +145,12 @@ def test_plan_shapes(graph, spark):
 
     assert "LeftSemi" in explained("SELECT DISTINCT ?x WHERE { ?x wdt:P31 wd:Q2 . ?x wdt:P10 ?v }")
     assert "Cartesian" not in run(graph, sparql.parse("SELECT DISTINCT ?x WHERE { ?x wdt:P10 ?v . wd:Q12 wdt:P10 ?w . FILTER(?v > ?w) }"))._jdf.queryExecution().toString()
+
+
+def test_end_punctuation_of_all_utterances(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    texts = ["one?", "two\nlines.", "a.\n", "b!\r\n", None, "", "c?!"]
+    spark.createDataFrame(list(enumerate(texts)), "row_id bigint, utterance string").write.parquet(f"{tmp_path}/examples.parquet")
+    got = {r.row_id: r.text for r in entry.queries()["remove_end_punctuation_all"](spark, str(tmp_path)).collect()}
+    assert got == {0: "one", 1: "two\nlines", 2: "a.\n", 3: "b!\r\n", 5: "", 6: "c?"}

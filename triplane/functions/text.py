@@ -23,7 +23,8 @@ def remove_accent(c: Column) -> Column:
 
 
 def remove_end_punctuation(c: Column) -> Column:
-    return F.regexp_replace(c, r"[.!?]$", "")
+    """Without the sign at the very end of the text; a line feed after it keeps it."""
+    return F.regexp_replace(c, r"[.!?]\z", "")
 
 
 def clean_name(c: Column) -> Column:

@@ -312,6 +312,12 @@ def remove_end_punctuation(spark, d):
     return rows.select("row_id", X.remove_end_punctuation(F.col("utterance")).alias("text"))
 
 
+@call("remove_end_punctuation_all", r"SELECT row_id, regexp_replace(utterance, '[.!?]\z', '') AS text FROM examples WHERE utterance IS NOT NULL")
+def remove_end_punctuation_all(spark, d):
+    """All utterances. The SQL of remove_end_punctuation leaves out those with a line feed, and so does that query."""
+    return table(spark, d, "examples").filter("utterance IS NOT NULL").select("row_id", X.remove_end_punctuation(F.col("utterance")).alias("text"))
+
+
 @call("spans", "WITH w AS (SELECT id, list_filter(string_split(label, ' '), lambda x: x <> '') AS t FROM entities), k AS (SELECT id, t, unnest(range(len(t))) AS i FROM w), p AS (SELECT id, t, i, unnest(range(i + 1, len(t) + 1)) AS j FROM k) SELECT id, array_to_string(t[i + 1 : j], ' ') AS span FROM p")
 def spans(spark, d):
     return labels(spark, d).select("id", F.explode(X.spans(F.col("label"))).alias("span"))
