@@ -228,6 +228,18 @@ def test_blocks_don_t_change_leaks(spark, monkeypatch):
     assert {tuple(r) for r in leakage.leaks(D, B).collect()} == {(i, i) for i, _ in items}
 
 
+def test_a_copy_beside_its_own_template(spark):
+    rnd = random.Random(8)
+    items = [(i, passage(rnd)) for i in range(6)]
+    other = lambda t: re.sub(r"\b\d+\b", lambda m: str(rnd.randint(2, 9999)), re.sub(r"of [a-z]+|Q\d+", lambda m: "of " + "".join(rnd.choices("bdfgklmn", k=7)), t))
+    docs = []
+    for i, t in items:
+        w = t.split()
+        docs.append((i, " ".join([other(t), "far away " * 100, " ".join(w[: len(w) * 6 // 10]), "far away " * 100, other(t)])))
+    D, B = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {tuple(r) for r in leakage.leaks(D, B).collect()} == {(i, i) for i, _ in items}
+
+
 # Garbled text
 
 

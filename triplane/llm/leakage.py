@@ -154,25 +154,32 @@ class Items:
             # Windows of one copy begin at nearly the same distance from their place in the item.
             slack = size // 2 + 10
             reach = np.searchsorted(s, s + slack, side="right") - np.arange(len(s))
-            best = int(reach.argmax())
-            if reach[best] >= least[g] and len(set(p[best : best + reach[best]].tolist())) >= least[g]:
-                out.append((t, i, max(0, int(s[best]) - 5), int(s[best]) + size + slack + 10))
+            # The densest place first, then all others, in steps that hold every copy whole.
+            places, n = [int(reach.argmax())], 0
+            while n < len(s):
+                places.append(n)
+                n = int(np.searchsorted(s, s[n] + slack // 2, side="right"))
+            for n in dict.fromkeys(places):
+                if reach[n] >= least[g] and len(set(p[n : n + reach[n]].tolist())) >= least[g]:
+                    out.append((t, i, max(0, int(s[n]) - 5), int(s[n]) + size + slack + 10))
         return out
 
     def leaked(self, texts: list[str]) -> list[tuple[int, int]]:
         """(text number, item) of every text that holds an item."""
-        out, last, words = [], -1, []
+        out, last, words = {}, -1, []
         for t, i, begin, end in self.candidates(texts):
             if t != last:
                 last, words = t, words_of(texts[t])
+            if (t, i) in out:
+                continue
             passage = words[begin:end]
             # Fillers that are nowhere in the passage can't be held: most passages that share a template only end here.
             if self.present(i, set(passage)) < SLOTS:
                 continue
             part, slots = self.held(i, passage)
             if part >= HELD and slots >= SLOTS:
-                out.append((t, i))
-        return out
+                out[t, i] = None
+        return list(out)
 
 
 def blocks_of(items: list[tuple[object, str]]) -> Iterator[list[tuple[object, str]]]:
