@@ -240,6 +240,19 @@ def test_a_copy_beside_its_own_template(spark):
     assert {tuple(r) for r in leakage.leaks(D, B).collect()} == {(i, i) for i, _ in items}
 
 
+def test_items_without_slots_or_template(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choices("bdfgklmnprstvz", k=4)) + "a" + "".join(rnd.choices("bdfklmn", k=3))
+    lone = [" ".join(word() for _ in range(40)) for _ in range(3)]
+    repeated = " ".join(word() for _ in range(40))
+    a, b = [word() for _ in range(20)], [word() for _ in range(20)]
+    items = [*enumerate(lone), (10, repeated), (11, repeated.upper()), (20, " ".join(a + b)), (21, " ".join(a[::-1])), (22, " ".join(b[::-1]))]
+    docs = [(i, f"some words before {t} and after") for i, t in items] + [(99, " ".join(word() for _ in range(80)))]
+    D, B = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = {(i, i) for i, _ in items} | {(10, 11), (11, 10)}
+    assert {tuple(r) for r in leakage.leaks(D, B).collect()} == want
+
+
 # Garbled text
 
 

@@ -18,9 +18,11 @@ import re
 import unicodedata
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from functools import reduce
+from itertools import accumulate
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -39,6 +41,8 @@ GATHERED = 0.2
 HELD, SLOTS = 0.5, 0.25
 #: Shortest block of words that counts as held.
 BLOCK = 3
+#: Template windows below which an item is looked for by plain words too.
+FEW = 8
 NAME, NUMBER, UNIT = 0, 1, 2
 #: Units of measure.
 UNITS = frozenset("km m cm mm kg g t ha mi ft lb s min h kilometre kilometres kilometer kilometers kilómetro kilometros kilometro kilomètre kilomètres kilometre kilometern metre metres meter meters metros mètres hours minutes seconds percent".split())
@@ -61,23 +65,30 @@ def words_of(text: str) -> list[str]:
 class Items:
     """The window table of a block of items, and the test of documents against it."""
 
-    def __init__(self, items: list[tuple[object, str]]):
+    def __init__(self, items: list[tuple[object, str]], kept: list[str] | None = None, plain: bool = False):
+        """`kept`: the words that items share, by default those of these items. `plain`: every word of the items is kept, so windows are of plain words."""
         import numpy as np
 
         self.keys = [k for k, _ in items]
         self.words = [words_of(t) for _, t in items]
-        shared = Counter(w for words in self.words for w in set(words))
-        kept = sorted(w for w, n in shared.items() if n > 1 and not w.isdigit() and w not in UNITS)
+        kept = shared_words(t for _, t in items) if kept is None else kept
+        shared = set(kept)
+        self.slots = [[w not in shared and w not in UNITS for w in words] for words in self.words]
+        if plain:
+            kept = sorted({w for words in self.words for w in words} - UNITS)
         self.lexicon = {w: i + 3 for i, w in enumerate(kept)} | dict.fromkeys(UNITS, UNIT)
         self.code = np.random.default_rng(7).integers(1, 2**63, len(kept) + 4, dtype=np.uint64)
         self.known: dict[str, bytes] = {}
         ids = [np.array([self.kind(w) for w in words], np.int32) for words in self.words]
-        self.slots = [(x < 2).tolist() for x in ids]
         h, owner, place = self.windows_of(ids)
         self.windows = np.bincount(owner, minlength=len(items))
         order = np.argsort(h, kind="stable")
         self.owner, self.place = owner[order], place[order]
         self.table, self.first, self.n = np.unique(h[order], return_index=True, return_counts=True)
+        # Items of which half may have too few template windows to gather are looked for by plain words besides.
+        few = [] if plain else [i for i, n in enumerate(self.windows) if n < max(FEW, GATHERED * len(self.words[i]))]
+        self.plain = Items([(i, items[i][1]) for i in few], [w for w in shared if not w.isdigit()], plain=True) if few else None
+        self.fewest = [fewest_slots(slots) for slots in self.slots]
 
     def kind(self, word: str) -> int:
         return self.lexicon.get(word, NUMBER if word.isdigit() else NAME)
@@ -115,16 +126,20 @@ class Items:
         return h[whole], text[whole], kept[whole] - begins[text[whole]]
 
     def present(self, i: int, words: set[str]) -> float:
-        """The part of item i's slot fillers that are among given words at all."""
+        """Item i's slot fillers among given words, as part of the fewest that a held half of it has; 1 if it may have none."""
         fillers = [w for w, slot in zip(self.words[i], self.slots[i]) if slot]
-        return sum(w in words for w in fillers) / max(1, len(fillers))
+        return sum(w in words for w in fillers) / self.fewest[i] if self.fewest[i] else 1.0
 
     def held(self, i: int, words: list[str]) -> tuple[float, float]:
-        """The parts of item i's words and of its slot fillers that a passage holds, in blocks and in order."""
+        """The parts of item i's words, and of the slot fillers from the first to the last held word, that a passage holds, in blocks and in order.
+
+        Without a slot there nothing speaks against a copy.
+        """
         blocks = [m for m in SequenceMatcher(None, self.words[i], words, autojunk=False).get_matching_blocks() if m.size >= BLOCK]
         slots = self.slots[i]
         inside = sum(sum(slots[m.a : m.a + m.size]) for m in blocks)
-        return sum(m.size for m in blocks) / len(slots), inside / max(1, sum(slots))
+        around = sum(slots[blocks[0].a : blocks[-1].a + blocks[-1].size]) if blocks else 0
+        return sum(m.size for m in blocks) / len(slots), inside / around if around else 1.0
 
     def candidates(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """(text number, item, first word, end) of the passages where enough of an item's windows gather."""
@@ -167,6 +182,8 @@ class Items:
     def leaked(self, texts: list[str]) -> list[tuple[int, int]]:
         """(text number, item) of every text that holds an item."""
         out, last, words = {}, -1, []
+        if self.plain:
+            out = {(t, self.plain.keys[i]): None for t, i in self.plain.leaked(texts)}
         for t, i, begin, end in self.candidates(texts):
             if t != last:
                 last, words = t, words_of(texts[t])
@@ -182,6 +199,19 @@ class Items:
         return list(out)
 
 
+def shared_words(texts: Iterable[str]) -> list[str]:
+    """The words, apart from numbers and units, in more than one distinct text; texts that differ in layout only are one."""
+    distinct = {tuple(words_of(t)) for t in texts}
+    return sorted(w for w, n in Counter(w for words in distinct for w in set(words)).items() if n > 1 and not w.isdigit() and w not in UNITS)
+
+
+def fewest_slots(slots: list[bool]) -> int:
+    """The least number of slots in any passage of as many of an item's words as must be held."""
+    size = ceil(HELD * len(slots))
+    sums = [0, *accumulate(slots)]
+    return min((sums[n + size] - sums[n] for n in range(len(slots) - size + 1)), default=0)
+
+
 def blocks_of(items: list[tuple[object, str]]) -> Iterator[list[tuple[object, str]]]:
     block, n = [], 0
     for key, text in items:
@@ -207,12 +237,13 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key:
     spark = documents.sparkSession
     schema = T.StructType([T.StructField(key, documents.schema[key].dataType), T.StructField(item_key, items.schema[item_key].dataType)])
     rows = [(r[0], r[1]) for r in items.filter(f"{text} != ''").select(item_key, text).toLocalIterator()]
+    kept = spark.sparkContext.broadcast(shared_words(t for _, t in rows))
     found = []
     for block in blocks_of(rows):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = Items(shared.value)
+            known = Items(shared.value, kept.value)
             kind = to_arrow_type(schema[1].dataType)
             for batch in batches:
                 for n in range(0, batch.num_rows, SLICE):
