@@ -52,3 +52,10 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(120)
     got = {(str(r.start), r.event_type): r.n for r in spark.table("counts").collect()}
     assert got[("2024-01-01 00:00:00", "a")] == 2 and got[("2024-01-01 01:00:00", "b")] == 1
+
+
+def test_patterns_name_only_templates_of_their_algebra():
+    from triplane.plans.templates import PATTERNS, TEMPLATES
+
+    assert set(PATTERNS.values()) <= {"describe", *TEMPLATES}
+    assert not {6, 16, 34, 37, 40} & set(PATTERNS)
