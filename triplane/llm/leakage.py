@@ -1,15 +1,18 @@
 """Documents that hold passages of held-out evaluation items.
 
-Texts become templates: words that the items share stay, numbers, units and all other words (names,
-above all) become typed placeholders, a run of names one placeholder. Windows of five template tokens
-are hashed; a document's windows are hash-joined with those of the items while it is scanned. Where
-windows of one item gather within a passage of the item's length, the passage is aligned with the item
-word by word: what counts is the part of the item's words, and of its slot fillers, found in blocks of
-three or more words in their order. So a passage that only shares the template, with other names and
-numbers in it, is told from a copy.
+Texts become templates: words that are common in the corpus stay, numbers, units and all other words
+(names, above all) become typed placeholders, a run of names one placeholder. Which words are common is
+counted once over all documents, so an item's template, and with it its result, depends on no other
+item. Windows of five template tokens are hashed; a document's windows are hash-joined with those of the
+items while it is scanned. Where windows of one item gather within a passage of the item's length, the
+passage is aligned with the item word by word: what counts is the part of the item's words, and of its
+slot fillers, found in blocks of three or more words in their order. A passage that shares the template
+and fills its slots otherwise, each filler always by the same other one, is a re-parameterised item: it
+is told from a copy and reported apart.
 
 The items are a stated query set: they are taken in blocks of at most BLOCK_WORDS words, each block's
-window table is broadcast, and the documents are scanned once for each block, without a shuffle.
+items are broadcast, a worker makes their window table once, and the documents are scanned once for each
+block, without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ from difflib import SequenceMatcher
 from functools import reduce
 from itertools import accumulate
 from math import ceil
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import table
@@ -33,6 +38,9 @@ from ..runtime import table
 BLOCK_WORDS = 2_000_000
 #: Template tokens in a window.
 WINDOW = 5
+#: Part of the documents that a common word is in, two documents at least. So there are at most 1 / COMMON
+#: times as many common words as a document has distinct words on average, whatever the corpus.
+COMMON = 0.005
 #: Tokens a worker remembers before it starts anew, and texts tested together; the result depends on neither.
 REMEMBERED, SLICE = 500_000, 256
 #: Part of an item's windows that must gather for an alignment.
@@ -41,6 +49,8 @@ GATHERED = 0.2
 HELD, SLOTS = 0.5, 0.25
 #: Shortest block of words that counts as held.
 BLOCK = 3
+#: Part of an item's template that a re-parameterised passage has, and of its slot fillers that agree on one other filler.
+ALIKE, AGREED = 0.8, 0.8
 #: Template windows below which an item is looked for by plain words too.
 FEW = 8
 NAME, NUMBER, UNIT = 0, 1, 2
@@ -65,15 +75,15 @@ def words_of(text: str) -> list[str]:
 class Items:
     """The window table of a block of items, and the test of documents against it."""
 
-    def __init__(self, items: list[tuple[object, str]], kept: list[str] | None = None, plain: bool = False):
-        """`kept`: the words that items share, by default those of these items. `plain`: every word of the items is kept, so windows are of plain words."""
+    def __init__(self, items: list[tuple[object, str]], kept: list[str], plain: int = 0):
+        """`kept`: the common words. `plain`: every word of the items is kept, so windows are of so many plain words."""
         import numpy as np
 
         self.keys = [k for k, _ in items]
         self.words = [words_of(t) for _, t in items]
-        kept = shared_words(t for _, t in items) if kept is None else kept
-        shared = set(kept)
-        self.slots = [[w not in shared and w not in UNITS for w in words] for words in self.words]
+        self.window = plain or WINDOW
+        common = set(kept)
+        self.slots = [[w not in common and w not in UNITS for w in words] for words in self.words]
         if plain:
             kept = sorted({w for words in self.words for w in words} - UNITS)
         self.lexicon = {w: i + 3 for i, w in enumerate(kept)} | dict.fromkeys(UNITS, UNIT)
@@ -85,9 +95,13 @@ class Items:
         order = np.argsort(h, kind="stable")
         self.owner, self.place = owner[order], place[order]
         self.table, self.first, self.n = np.unique(h[order], return_index=True, return_counts=True)
-        # Items of which half may have too few template windows to gather are looked for by plain words besides.
-        few = [] if plain else [i for i, n in enumerate(self.windows) if n < max(FEW, GATHERED * len(self.words[i]))]
-        self.plain = Items([(i, items[i][1]) for i in few], [w for w in shared if not w.isdigit()], plain=True) if few else None
+        # Items of which half may have too few template windows to gather are looked for by plain words
+        # besides, items shorter than a window by windows of their own length.
+        few: dict[int, list[tuple[int, str]]] = {}
+        for i, n in enumerate(self.windows if not plain else ()):
+            if n < max(FEW, GATHERED * len(self.words[i])) and self.words[i]:
+                few.setdefault(min(WINDOW, len(self.words[i])), []).append((i, items[i][1]))
+        self.plain = [Items(part, [w for w in common if not w.isdigit()], n) for n, part in sorted(few.items())]
         self.fewest = [fewest_slots(slots) for slots in self.slots]
 
     def kind(self, word: str) -> int:
@@ -114,15 +128,15 @@ class Items:
         first = np.zeros(len(ids) + 1, bool)
         first[begins] = True
         kept = np.flatnonzero((ids != NAME) | first[:-1] | (np.concatenate([[1], ids[:-1]]) != NAME)) if len(ids) else np.zeros(0, np.int64)
-        n = len(kept) - WINDOW + 1
+        n = len(kept) - self.window + 1
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         c = self.code[ids[kept]]
         h = np.zeros(n, np.uint64)
-        for k in range(WINDOW):
+        for k in range(self.window):
             h = h * np.uint64(0x9E3779B97F4A7C15) + (c[k : k + n] ^ (c[k : k + n] >> np.uint64(29)))
         text = np.searchsorted(ends, kept, side="right")
-        whole = np.flatnonzero(text[:n] == text[WINDOW - 1 :])
+        whole = np.flatnonzero(text[:n] == text[self.window - 1 :])
         return h[whole], text[whole], kept[whole] - begins[text[whole]]
 
     def present(self, i: int, words: set[str]) -> float:
@@ -135,7 +149,7 @@ class Items:
 
         Without a slot there nothing speaks against a copy.
         """
-        blocks = [m for m in SequenceMatcher(None, self.words[i], words, autojunk=False).get_matching_blocks() if m.size >= BLOCK]
+        blocks = [m for m in SequenceMatcher(None, self.words[i], words, autojunk=False).get_matching_blocks() if m.size >= min(BLOCK, len(self.words[i]))]
         slots = self.slots[i]
         inside = sum(sum(slots[m.a : m.a + m.size]) for m in blocks)
         around = sum(slots[blocks[0].a : blocks[-1].a + blocks[-1].size]) if blocks else 0
@@ -161,7 +175,7 @@ class Items:
         order = np.lexsort((start, pair))
         pair, place, start = pair[order], place[order], start[order]
         groups, first, count = np.unique(pair, return_index=True, return_counts=True)
-        least = np.maximum(2, GATHERED * self.windows[groups % len(self.keys)])
+        least = np.maximum(1, GATHERED * self.windows[groups % len(self.keys)])
         out = []
         for g in np.flatnonzero(count >= least):
             t, i = divmod(int(groups[g]), len(self.keys))
@@ -179,30 +193,100 @@ class Items:
                     out.append((t, i, max(0, int(s[n]) - 5), int(s[n]) + size + slack + 10))
         return out
 
-    def leaked(self, texts: list[str]) -> list[tuple[int, int]]:
-        """(text number, item) of every text that holds an item."""
-        out, last, words = {}, -1, []
-        if self.plain:
-            out = {(t, self.plain.keys[i]): None for t, i in self.plain.leaked(texts)}
+    def passages(self, texts: list[str]) -> Iterator[tuple[int, int, list[str]]]:
+        """(text number, item, words) of the passages to look at."""
+        last, words = -1, []
         for t, i, begin, end in self.candidates(texts):
             if t != last:
                 last, words = t, words_of(texts[t])
-            if (t, i) in out:
-                continue
-            passage = words[begin:end]
+            yield t, i, words[begin:end]
+
+    def leaked(self, texts: list[str]) -> list[tuple[int, int]]:
+        """(text number, item) of every text that holds an item."""
+        out = {(t, part.keys[i]): None for part in self.plain for t, i in part.leaked(texts)}
+        for t, i, passage in self.passages(texts):
             # Fillers that are nowhere in the passage can't be held: most passages that share a template only end here.
-            if self.present(i, set(passage)) < SLOTS:
+            if (t, i) in out or self.present(i, set(passage)) < SLOTS:
                 continue
             part, slots = self.held(i, passage)
             if part >= HELD and slots >= SLOTS:
                 out[t, i] = None
         return list(out)
 
+    def agreed(self, i: int, words: list[str]) -> tuple[float, int, int, float]:
+        """How a passage fills item i's template: the part of the template it has, slots, slots with the item's own filler, and the part of the slots that agree.
+
+        Slots agree if each filler of the item stands for one filler of the passage and the other way round.
+        """
+        kinds = [self.kind(w) for w in self.words[i]]
+        blocks = [m for m in SequenceMatcher(None, kinds, [self.kind(w) for w in words], autojunk=False).get_matching_blocks() if m.size >= min(BLOCK, len(kinds))]
+        pairs = [(self.words[i][m.a + n], words[m.b + n]) for m in blocks for n in range(m.size) if self.slots[i][m.a + n]]
+        both = Counter(pairs)
+        best: dict[tuple[int, str], int] = {}
+        for (a, b), n in both.items():
+            best[0, a], best[1, b] = max(best.get((0, a), 0), n), max(best.get((1, b), 0), n)
+        agree = sum(n for (a, b), n in both.items() if n == best[0, a] == best[1, b])
+        return sum(m.size for m in blocks) / len(kinds), len(pairs), sum(a == b for a, b in pairs), agree / len(pairs) if pairs else 0.0
+
+    def refilled(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
+        """(text number, item, slots, slots with the item's own filler) of every text that holds an item's template with other fillers."""
+        copies, out = set(self.leaked(texts)), {}
+        for t, i, passage in self.passages(texts):
+            if (t, i) in copies:
+                continue
+            part, n, own, agree = self.agreed(i, passage)
+            if part >= ALIKE and n and own < n and agree >= AGREED:
+                out[t, i] = max(out.get((t, i), (0, 0)), (n, own))
+        return [(*k, *v) for k, v in out.items()]
+
+
+_TABLES: dict[str, Items] = {}
+
+
+def worker_table(name: str, items: list[tuple[object, str]], kept: list[str]) -> Items:
+    """The window table of a block, made once in each worker; a worker keeps two."""
+    if name not in _TABLES:
+        while len(_TABLES) > 1:
+            _TABLES.pop(next(iter(_TABLES)))
+        _TABLES[name] = Items(items, kept)
+    return _TABLES[name]
+
+
+def common_words(documents: DataFrame, text: str = "text") -> list[str]:
+    """The words, apart from numbers and units, that COMMON of all documents have, and two at least: a list of bounded length."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-def shared_words(texts: Iterable[str]) -> list[str]:
-    """The words, apart from numbers and units, in more than one distinct text; texts that differ in layout only are one."""
-    distinct = {tuple(words_of(t)) for t in texts}
-    return sorted(w for w, n in Counter(w for words in distinct for w in set(words)).items() if n > 1 and not w.isdigit() and w not in UNITS)
+        known: dict[str, tuple[int, ...]] = {}
+        numbers: dict[str, int] = {}
+        counts, n = np.zeros(1 << 16, np.int64), 0
+
+        def out() -> pa.RecordBatch:
+            # The empty word counts the documents.
+            return pa.RecordBatch.from_arrays([pa.array([*numbers, ""], pa.string()), pa.array([*counts[: len(numbers)].tolist(), n], pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                n += 1
+                tokens = set((_BROKEN.sub("", t) if "-" in t else t).split())
+                for token in tokens.difference(known):
+                    known[token] = tuple(numbers.setdefault(w, len(numbers)) for w in words_of(token) if not w.isdigit())
+                while len(numbers) > len(counts):
+                    counts = np.concatenate([counts, np.zeros_like(counts)])
+                counts[list({w for token in tokens for w in known[token]})] += 1
+            if len(known) > REMEMBERED:
+                yield out()
+                known.clear()
+                numbers.clear()
+                counts[:], n = 0, 0
+        yield out()
+
+    counts = documents.select(text).filter(F.col(text) != "").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    total = F.broadcast(counts.filter("word = ''").select(F.col("n").alias("of")))
+    rows = counts.filter("word != '' AND n > 1").join(total, F.col("n") >= F.col("of") * COMMON, "left_semi").select("word").collect()
+    return sorted(r.word for r in rows if r.word not in UNITS)
 
 
 def fewest_slots(slots: list[bool]) -> int:
@@ -212,7 +296,7 @@ def fewest_slots(slots: list[bool]) -> int:
     return min((sums[n + size] - sums[n] for n in range(len(slots) - size + 1)), default=0)
 
 
-def blocks_of(items: list[tuple[object, str]]) -> Iterator[list[tuple[object, str]]]:
+def blocks_of(items: Iterable[tuple[object, str]]) -> Iterator[list[tuple[object, str]]]:
     block, n = [], 0
     for key, text in items:
         size = len(text.split())
@@ -225,47 +309,65 @@ def blocks_of(items: list[tuple[object, str]]) -> Iterator[list[tuple[object, st
         yield block
 
 
-def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
-    """(key, item_key): the documents that hold about half or more of an item, in order and nearly verbatim.
-
-    Null and empty texts hold nothing and are nowhere held; items shorter than a window are never found.
-    Repeated keys come once for each row that holds the item.
-    """
+def scanned(documents: DataFrame, items: DataFrame, found: str, columns: list[T.StructField], key: str, item_key: str, text: str) -> DataFrame:
+    """(key, item_key, *columns): what the method `found` of Items says of all documents and items."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = documents.sparkSession
-    schema = T.StructType([T.StructField(key, documents.schema[key].dataType), T.StructField(item_key, items.schema[item_key].dataType)])
-    rows = [(r[0], r[1]) for r in items.filter(f"{text} != ''").select(item_key, text).toLocalIterator()]
-    kept = spark.sparkContext.broadcast(shared_words(t for _, t in rows))
-    found = []
+    schema = T.StructType([T.StructField(key, documents.schema[key].dataType), T.StructField(item_key, items.schema[item_key].dataType), *columns])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+    kept = spark.sparkContext.broadcast(common_words(documents, text))
+    rows = ((r[0], r[1]) for r in items.filter(f"{text} != ''").select(item_key, text).toLocalIterator())
+    parts = []
     for block in blocks_of(rows):
-        shared = spark.sparkContext.broadcast(block)
+        shared, name = spark.sparkContext.broadcast(block), uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = Items(shared.value, kept.value)
-            kind = to_arrow_type(schema[1].dataType)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            known = worker_table(name, shared.value, kept.value)
             for batch in batches:
                 for n in range(0, batch.num_rows, SLICE):
                     part = batch.slice(n, SLICE)
-                    hits = known.leaked([t or "" for t in part.column(1).to_pylist()])
-                    at = part.column(0).take(pa.array([t for t, _ in hits], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([at, pa.array([known.keys[i] for _, i in hits], kind)], [key, item_key])
+                    hits = getattr(known, found)([t or "" for t in part.column(1).to_pylist()])
+                    at = part.column(0).take(pa.array([h[0] for h in hits], pa.int64()))
+                    rest = [pa.array([h[c] for h in hits], kinds[c]) for c in range(2, len(schema))]
+                    yield pa.RecordBatch.from_arrays([at, pa.array([known.keys[h[1]] for h in hits], kinds[1]), *rest], schema.names)
+
+        parts.append(documents.select(key, text).mapInArrow(run, schema))
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
-        found.append(documents.select(key, text).mapInArrow(run, schema))
-    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
+
+def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
+    """(key, item_key): the documents that hold about half or more of an item, in order and nearly verbatim.
+
+    Null and empty texts, and those without a word, hold nothing and are nowhere held; an item shorter than
+    a window is held where all its words stand together. Repeated keys come once for each row that holds the item.
+    """
+    return scanned(documents, items, "leaked", [], key, item_key, text)
+
+
+def refilled(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
+    """(key, item_key, n_slots, n_own): the documents that hold an item re-parameterised, and how many of the slots have the item's own filler.
+
+    They hold ALIKE of the item's template, no copy of it, and AGREED of the fillers stand each for one
+    other filler throughout. Items without a slot can't be re-parameterised. Nulls as in leaks().
+    """
+    columns = [T.StructField("n_slots", T.LongType()), T.StructField("n_own", T.LongType())]
+    return scanned(documents, items, "refilled", columns, key, item_key, text)
 
 
 def p7_found(spark: SparkSession, directory: str) -> DataFrame:
     return leaks(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
 
 
+def p7_refilled(spark: SparkSession, directory: str) -> DataFrame:
+    return refilled(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
 def p7_items(spark: SparkSession, directory: str) -> DataFrame:
     """How many documents each leaked item is in."""
-    from pyspark.sql import functions as F
-
     return p7_found(spark, directory).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_items": p7_items}
+QUERIES = {"p7_found": p7_found, "p7_items": p7_items, "p7_refilled": p7_refilled}
 ORACLE_SQL: dict[str, str] = {}
