@@ -256,20 +256,21 @@ def common_words(documents: DataFrame, text: str = "text") -> list[str]:
     """The words, apart from numbers and units, that COMMON of all documents have, and two at least: a list of bounded length."""
     import pyarrow as pa
 
+    filled = documents.select(text).filter(F.col(text) != "")
+    least = max(2, ceil(filled.count() * COMMON))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         known: dict[str, tuple[int, ...]] = {}
         numbers: dict[str, int] = {}
-        counts, n = np.zeros(1 << 16, np.int64), 0
+        counts = np.zeros(1 << 16, np.int64)
 
         def out() -> pa.RecordBatch:
-            # The empty word counts the documents.
-            return pa.RecordBatch.from_arrays([pa.array([*numbers, ""], pa.string()), pa.array([*counts[: len(numbers)].tolist(), n], pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.string()), pa.array(counts[: len(numbers)])], ["word", "n"])
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                n += 1
                 tokens = set((_BROKEN.sub("", t) if "-" in t else t).split())
                 for token in tokens.difference(known):
                     known[token] = tuple(numbers.setdefault(w, len(numbers)) for w in words_of(token) if not w.isdigit())
@@ -280,13 +281,11 @@ def common_words(documents: DataFrame, text: str = "text") -> list[str]:
                 yield out()
                 known.clear()
                 numbers.clear()
-                counts[:], n = 0, 0
+                counts[:] = 0
         yield out()
 
-    counts = documents.select(text).filter(F.col(text) != "").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    total = F.broadcast(counts.filter("word = ''").select(F.col("n").alias("of")))
-    rows = counts.filter("word != '' AND n > 1").join(total, F.col("n") >= F.col("of") * COMMON, "left_semi").select("word").collect()
-    return sorted(r.word for r in rows if r.word not in UNITS)
+    counts = filled.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return sorted(r.word for r in counts.filter(F.col("n") >= least).select("word").collect() if r.word not in UNITS)
 
 
 def fewest_slots(slots: list[bool]) -> int:
