@@ -2,11 +2,11 @@
 
 A text is normalised for compatibility as far as that doesn't show (full width, ligatures, Roman
 numerals, spaces, hyphens), ignorable characters are deleted, and accents are composed. In each word
-every letter opens a column of its look-alikes in all scripts; the Viterbi path through that lattice
-under character-pair scores of single scripts, with a heavy penalty for a change of script, is the
-word's form. Words that look the same have the same lattice, hence one form. A word that can be read
-in Latin letters throughout is read in plain ones, which makes plain Latin text its own form; the
-search decides all other words.
+every letter opens a column of its look-alikes in all scripts. A Viterbi search through that lattice under
+character-pair scores gives the word's best reading in each script that has a letter in every column, or,
+if no script has, the best one with changes of script. A second search over the readings of a text's words
+chooses among them, with a penalty for a change of script from word to word. Every word of every text is
+searched. Texts that look the same have the same lattices, hence one form.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from math import log
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import key128, table
+from ..runtime import key128, table, use_checkpoints
 
 #: Letters that look alike in common fonts, one class a group; base letters without accents.
 LOOK_ALIKES = """
@@ -31,13 +32,12 @@ AАΑ BВΒ CСϹ EЕΕ FϜ GԌ HНΗ IІΙӀ JЈͿ KКΚ MМΜ NΝ OОΟՕ PР
 """.split()
 #: Hyphens that look like the ASCII one.
 HYPHENS = "‐‑"
-#: Log score of a change of script within a word.
-SWITCH = -30.0
+#: Log scores of a change of script within a word and between words.
+SWITCH, WORD_SWITCH = -30.0, -8.0
+#: Distinct words that a worker remembers before it starts anew; the result doesn't depend on it.
+REMEMBERED = 200_000
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
 _CLASS = {c: group for group in LOOK_ALIKES for c in group}
-#: A text of these characters only is its own form.
-PLAIN = r"^[\x00-\x7fÀ-ÖØ-öø-ıĴ-ľŁ-ňŊ-ž]*$"
-
 
 class _Compatible(dict):
     """str.translate table of one character: its compatible form where that looks the same, nothing for ignorable ones."""
@@ -70,7 +70,7 @@ def script(c: str) -> str:
 
 def compatible(text: str) -> str:
     """The text without ignorable characters, compatible where that doesn't show, accents decomposed."""
-    return unicodedata.normalize("NFD", text.translate(_COMPATIBLE))
+    return text if text.isascii() else unicodedata.normalize("NFD", text.translate(_COMPATIBLE))
 
 
 def pair_counts(words: Counter) -> Counter:
@@ -86,95 +86,145 @@ def pair_counts(words: Counter) -> Counter:
 
 
 class Reader:
-    """Reads words through the lattice of look-alikes under given pair counts."""
+    """Reads texts through the lattices of look-alikes under given pair counts."""
 
     def __init__(self, pairs: dict[tuple[str, str, str], int]):
-        first, total = Counter(), Counter()
+        first, words = Counter(), Counter()
         for (s, a, _), n in pairs.items():
             first[s, a] += n
-            total[s] += n
-        self.pairs, self.first, self.total = pairs, first, total
-        self.word = lru_cache(200_000)(self._word)
+            if a == "^":
+                words[s] += n
+        self.pairs, self.first, self.total = pairs, first, sum(first.values())
+        self.share = {s: log((words[s] + 0.5) / (words.total() + 2)) for s in SCRIPTS}
+        self.readings = lru_cache(REMEMBERED)(self._readings)
 
     def score(self, s: str, a: str, b: str) -> float:
-        """Log probability of b after a in a script, smoothed by how frequent b is there."""
-        alone = (self.first.get((s, b), 0) + 0.01) / (self.total.get(s, 0) + 1)
+        """Log probability of b after a in a script, smoothed by how frequent b is."""
+        alone = (self.first.get((s, b), 0) + 0.01) / (self.total + 1)
         return log((self.pairs.get((s, a, b), 0) + 5 * alone) / (self.first.get((s, a), 0) + 5))
 
-    def _best(self, columns: list[list[str]]) -> list[str]:
-        """The Viterbi path through columns of candidates; on a tie the candidate first in its class."""
-        paths = {("", "^"): (0.0, [])}
+    def _best(self, columns: list[list[str]]) -> tuple[float, list[str]]:
+        """The Viterbi path through columns of candidates and its score; on a tie the candidate first in its class. Linear in the columns."""
+        now, back = {("", "^"): 0.0}, []
         for column in [*columns, ["$"]]:
-            new = {}
+            new, came = {}, {}
             for c in column:
                 s = script(c) if c.isalpha() else ""
                 best = None
-                for (last, a), (value, path) in paths.items():
+                for (last, a), value in now.items():
                     of = s or last
                     v = value + (self.score(of, a, c) if last in ("", of) else SWITCH)
                     if best is None or v > best[0]:
-                        best = (v, [*path, c], of)
-                new[best[2], c] = best[:2]
-            paths = new
-        return next(iter(paths.values()))[1][:-1]
-
-    def _word(self, word: str) -> str:
-        letters = [(i, c) for i, c in enumerate(word) if not unicodedata.combining(c)]
-        columns = [list(_CLASS.get(c, c)) for _, c in letters]
-        # The first of a class is the plain Latin letter; a letter without a class is Latin or not.
-        latin = all(script(column[0]) == "LATIN" or not column[0].isalpha() for column in columns)
-        best, out = [column[0] for column in columns] if latin else self._best(columns), list(word)
-        for (i, _), c in zip(letters, best):
-            out[i] = c
-        return "".join(out)
+                        best = (v, of, (last, a))
+                new[best[1], c], came[best[1], c] = best[0], best[2]
+            now = new
+            back.append(came)
+        state, value = next(iter(now.items()))
+        path = []
+        for came in reversed(back):
+            path.append(state[1])
+            state = came[state]
+        return value, path[:0:-1]
+
+    def _readings(self, word: str) -> list[tuple[str, float, str]]:
+        """(script, score, form): the best reading of a word in each script that can write it; with changes of script, and without a script, if none can."""
+        at = [i for i, c in enumerate(word) if not unicodedata.combining(c)]
+        columns, found = [list(_CLASS.get(word[i], word[i])) for i in at], []
+        for s in SCRIPTS:
+            own = [[c for c in column if script(c) == s] for column in columns]
+            if all(own):
+                value, path = self._best(own)
+                found.append((s, value + self.share[s], path))
+        if not found:
+            found.append(("", *self._best(columns)))
+        out = []
+        for s, value, path in found:
+            form = list(word)
+            for i, c in zip(at, path):
+                form[i] = c
+            out.append((s, value, "".join(form)))
+        return out
+
+    @staticmethod
+    def chosen(readings: list[list[tuple[str, float, str]]]) -> list[str]:
+        """One reading for each word of a text, by the scores and the changes of script between words."""
+        now, back = {"": 0.0}, []
+        for options in readings:
+            new: dict[str, float] = {}
+            came = {}
+            for s, value, form in options:
+                for last, before in now.items():
+                    v = before + value + (WORD_SWITCH if s and last and s != last else 0.0)
+                    to = s or last
+                    if to not in new or v > new[to]:
+                        new[to], came[to] = v, (last, form)
+            now = new
+            back.append(came)
+        state, out = max(now, key=now.get), []
+        for came in reversed(back):
+            state, form = came[state]
+            out.append(form)
+        return out[::-1]
 
     def text(self, text: str) -> str:
-        return unicodedata.normalize("NFC", _WORD.sub(lambda m: self.word(m[0]) if len(m[0]) <= 200 else "".join(_CLASS.get(c, c)[0] for c in m[0]), compatible(text)))
+        plain = compatible(text)
+        words = _WORD.findall(plain)
+        readings = list(map(self.readings, words))
+        forms = [r[0][2] for r in readings] if all(len(r) == 1 for r in readings) else self.chosen(readings)
+        if forms != words:
+            left = iter(forms)
+            plain = _WORD.sub(lambda m: next(left), plain)
+        return plain if plain.isascii() else unicodedata.normalize("NFC", plain)
 
 
 def letter_pairs(texts: DataFrame, column: str) -> dict[tuple[str, str, str], int]:
-    """Pair counts over all texts. At most the square of the letters of four scripts comes to the driver."""
+    """Pair counts over all words of all texts. At most the square of the letters of four scripts comes to the driver."""
     import pyarrow as pa
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
+        counts: Counter = Counter()
         for batch in batches:
-            counts: Counter = Counter()
             for t in batch.column(0).to_pylist():
                 if t:
-                    counts.update(t.split())
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: Counter = Counter()
-            for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in _WORD.findall(t):
-                    counts[w] += n
-            out = pair_counts(counts)
-            columns = [pa.array([k[i] for k in out], pa.string()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out.values(), pa.int64())], ["script", "a", "b", "n"])
-
-    distinct = texts.select(column).mapInArrow(words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = distinct.mapInArrow(pairs, "script string, a string, b string, n bigint").groupBy("script", "a", "b").agg(F.sum("n").alias("n"))
+                    words.update(_WORD.findall(t))
+            if len(words) > REMEMBERED:
+                counts += pair_counts(words)
+                words.clear()
+        counts += pair_counts(words)
+        columns = [pa.array([k[i] for k in counts], pa.string()) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(counts.values(), pa.int64())], ["script", "a", "b", "n"])
+
+    counted = texts.select(column).mapInArrow(pairs, "script string, a string, b string, n bigint").groupBy("script", "a", "b").agg(F.sum("n").alias("n"))
     return {(r.script, r.a, r.b): r.n for r in counted.collect()}
 
 
+_READERS: dict[str, Reader] = {}
+
+
+def worker_reader(name: str, pairs: dict) -> Reader:
+    """The reader under given pair counts, made once in each worker."""
+    if name not in _READERS:
+        _READERS.clear()
+        _READERS[name] = Reader(pairs)
+    return _READERS[name]
+
+
 def with_form(rows: DataFrame, column: str, pairs: dict) -> DataFrame:
-    """`rows` with a column "form". Plain texts are their own form and stay in the JVM; the others go through the lattice."""
+    """`rows` with a column "form"."""
     import pyarrow as pa
 
-    other = rows.filter(~F.col(column).rlike(PLAIN))
     names = [*rows.columns, "form"]
     where = rows.columns.index(column)
+    shared, name = rows.sparkSession.sparkContext.broadcast(pairs), uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(pairs)
+        reader = worker_reader(name, shared.value)
         for batch in batches:
             forms = [reader.text(t) for t in batch.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forms, pa.string())], names)
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("form", T.StringType())])
-    return rows.filter(F.col(column).rlike(PLAIN)).withColumn("form", F.col(column)).unionByName(other.mapInArrow(run, schema))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("form", T.StringType())]))
 
 
 def unified(rows: DataFrame) -> DataFrame:
@@ -183,17 +233,27 @@ def unified(rows: DataFrame) -> DataFrame:
     return with_form(filled, "text", letter_pairs(filled, "text"))
 
 
+def several_texts(rows: DataFrame) -> DataFrame:
+    """(src, id, f1, f2, t1, t2): the rows whose form other texts of their src have too; form and text by hash.
+
+    Every row's hashes are checkpointed once, and the few rows left again. Texts that look like nothing at all have no form.
+    """
+    use_checkpoints(rows.sparkSession)
+    (t1, t2), (f1, f2) = key128(F.col("text")), key128(F.col("form"))
+    keyed = unified(rows).filter("trim(form) != ''").select("src", "id", f1.alias("f1"), f2.alias("f2"), t1.alias("t1"), t2.alias("t2")).checkpoint()
+    text = F.struct("t1", "t2")
+    forms = keyed.groupBy("src", "f1", "f2").agg(F.min(text).alias("least"), F.max(text).alias("most")).filter("least < most")
+    return keyed.join(forms.select("src", "f1", "f2"), ["src", "f1", "f2"], "left_semi").checkpoint()
+
+
 def same_looking(rows: DataFrame) -> DataFrame:
     """(src, id_a, id_b), smaller first: rows of one src whose text looks the same but differs in its characters.
 
     Texts are paired within their form, distinct ones only and by hash, and the pairs then meet their
-    rows; rows with the same text never meet. Texts that look like nothing at all have no case.
+    rows; rows with the same text never meet. Null and empty texts have no case.
     """
-    (t1, t2), (f1, f2) = key128(F.col("text")), key128(F.col("form"))
-    keyed = unified(rows).filter("trim(form) != ''").select("src", "id", t1.alias("t1"), t2.alias("t2"), f1.alias("f1"), f2.alias("f2"))
-    texts = keyed.groupBy("src", "f1", "f2", "t1", "t2").agg(F.lit(1).alias("one"))
-    several = texts.groupBy("src", "f1", "f2").agg(F.count("*").alias("n")).filter("n > 1").select("src", "f1", "f2")
-    members = texts.join(several, ["src", "f1", "f2"], "left_semi").select("src", "f1", "f2", "t1", "t2")
+    keyed = several_texts(rows)
+    members = keyed.groupBy("src", "f1", "f2", "t1", "t2").agg(F.lit(1).alias("one")).drop("one")
     others = members.select("src", "f1", "f2", F.col("t1").alias("o1"), F.col("t2").alias("o2"))
     pairs = members.join(others, ["src", "f1", "f2"]).filter("t1 < o1 OR t1 = o1 AND t2 < o2").select("src", "t1", "t2", "o1", "o2")
     left = keyed.select("src", "t1", "t2", F.col("id").alias("a"))
@@ -202,6 +262,18 @@ def same_looking(rows: DataFrame) -> DataFrame:
     return found.select("src", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
 
 
+def looks(rows: DataFrame) -> DataFrame:
+    """(src, id, class_id, n_links): the rows that have a case, each with the smallest id of its class and the number of rows that it makes a case with.
+
+    One row for each row, whatever the classes' sizes; same_looking() is its expansion into pairs.
+    """
+    keyed = several_texts(rows)
+    texts = keyed.groupBy("src", "f1", "f2", "t1", "t2").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    forms = texts.groupBy("src", "f1", "f2").agg(F.sum("n").alias("of"), F.min("least").alias("class_id"))
+    counts = texts.join(forms, ["src", "f1", "f2"]).select("src", "t1", "t2", "class_id", (F.col("of") - F.col("n")).alias("n_links"))
+    return keyed.join(counts, ["src", "t1", "t2"]).select("src", "id", "class_id", "n_links")
+
+
 def texts(spark: SparkSession, directory: str) -> DataFrame:
     labels = table(spark, directory, "labels").select(F.lit("labels").alias("src"), F.col("label_id").alias("id"), F.col("label").alias("text"))
     examples = table(spark, directory, "examples").select(F.lit("examples").alias("src"), F.col("row_id").alias("id"), F.col("utterance").alias("text"))
@@ -212,10 +284,14 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     return same_looking(texts(spark, directory))
 
 
+def p4_classes(spark: SparkSession, directory: str) -> DataFrame:
+    return looks(texts(spark, directory))
+
+
 def p4_forms(spark: SparkSession, directory: str) -> DataFrame:
     """The one form of every text that isn't in it yet."""
     return unified(texts(spark, directory)).filter("form != text")
 
 
-QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms}
+QUERIES = {"p4_found": p4_found, "p4_classes": p4_classes, "p4_forms": p4_forms}
 ORACLE_SQL: dict[str, str] = {}
