@@ -116,10 +116,28 @@ def overlaps(rows: DataFrame, key: str = "row_id", similarity: float = SIMILARIT
     return found.select(F.least("e", "t").alias("id_a"), F.greatest("e", "t").alias("id_b"))
 
 
+def linked(rows: DataFrame, key: str = "row_id", similarity: float = SIMILARITY) -> DataFrame:
+    """(key, class_id, n_links): the rows with a case, each with its class and the number of classes of the other side that are the same or nearly so.
+
+    A class is the rows of one meaning and one utterance form; its id is the smallest key in it. One row
+    for each row, however often a record was delivered: overlaps() is the expansion into pairs.
+    """
+    records = shared_records(rows, key)
+    pairs = class_pairs(records, similarity)
+    sides = pairs.select("q1", "q2", F.col("eu").alias("u"), F.lit(True).alias("held_out")).union(pairs.select("q1", "q2", F.col("tu").alias("u"), F.lit(False).alias("held_out")))
+    links = sides.groupBy("q1", "q2", "u", "held_out").agg(F.count("*").alias("n_links"))
+    classes = records.groupBy("q1", "q2", "u").agg(F.min(key).alias("class_id"))
+    return records.join(links.join(classes, ["q1", "q2", "u"]), ["q1", "q2", "u", "held_out"]).select(key, "class_id", "n_links")
+
+
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     return overlaps(table(spark, directory, "examples"))
 
 
+def p2_classes(spark: SparkSession, directory: str) -> DataFrame:
+    return linked(table(spark, directory, "examples"))
+
+
 def p2_report(spark: SparkSession, directory: str) -> DataFrame:
     """Evaluation rows that are in the training split too, counted by split and source; a null source is a source."""
     rows = table(spark, directory, "examples")
@@ -135,5 +153,5 @@ def p2_report(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_report": p2_report}
 ORACLE_SQL: dict[str, str] = {}

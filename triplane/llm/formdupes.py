@@ -45,7 +45,11 @@ def encoded_records(rows: DataFrame, key: str, fields: dict[str, Callable[[str],
     return out.select(key, F.xxhash64(*ids).alias("g1"), F.xxhash64(F.lit(1), *ids).alias("g2"))
 
 
-FIELDS = {"utterance": utterance_form, "sparql": query_form}
+def nested_form(query: str) -> str:
+    return query_form(query, nested=True)
+
+
+FIELDS = {"utterance": utterance_form, "sparql": nested_form}
 
 
 def groups_of(records: DataFrame, key: str) -> DataFrame:
