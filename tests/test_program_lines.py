@@ -96,3 +96,15 @@ def test_whole_table(spark):
 def test_values_load_unquoted(spark):
     row = spark.createDataFrame([(1, 'a-1\t"say ""hi"", now"\tx ;')], "line_id bigint, raw_line string")
     assert P.valid_rows(row).collect()[0][1:] == ("a-1", 'say "hi", now', "x ;")
+
+
+def test_equal_and_null_keys(spark):
+    rows = spark.createDataFrame([(1, CASES[0]), (1, "bad"), (None, CASES[0]), (None, f"BAD ID\tx\t{GOOD}"), (2, "bad"), (2, "bad")], "line_id bigint, raw_line string")
+    assert sorted((r.line_id or 0, r.reason) for r in P.bad_lines(rows).collect()) == [(0, "id"), (1, "columns"), (2, "columns"), (2, "columns")]
+    assert sorted((r.line_id or 0, r.id) for r in P.valid_rows(rows).collect()) == [(0, "train-1"), (1, "train-1")]
+
+
+def test_a_dictionary_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(P, "BROADCAST", 0)
+    bad, good = run(spark, CASES)
+    assert bad == {i: r for i, x in enumerate(CASES) if (r := plain(x))} and good == set(range(len(CASES))) - set(bad)

@@ -1,23 +1,28 @@
 """Lines of program TSV files: the valid rows are loaded, the others set apart with the reason.
 
-Lines are split in the JVM; only those with a quoted field go through a scanner in Python. Each distinct
-value of a column is checked once; the invalid ones make a dictionary of reasons, which is joined back
-to the lines beside the structural checks.
+Lines are split in the JVM, once; only those with a quoted field go through a scanner in Python. Each
+distinct value of a column is checked once; the invalid ones make a dictionary of reasons, which is joined
+back to the lines beside the structural checks. The join keeps every line as it is, so lines with equal or
+null keys are judged each by itself.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import key128, table
+from ..runtime import key128, table, use_checkpoints
 
 COLUMNS = ("id", "utterance", "thingtalk")
-#: Rounds in which the JVM takes away empty pairs of brackets; what nests deeper is checked in Python.
-ROUNDS = 5
-_BLANK = r"^[\s\p{Z}\x{1c}-\x{1f}\x{85}]*\z"
+#: Entries of the dictionary up to which it is broadcast, about 20 MB; a larger one is joined by shuffle.
+BROADCAST = 250_000
+_ID = re.compile(r"[a-z]+-[0-9]{1,9}").fullmatch
+_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ufffd]").search
+_QUOTED = re.compile('"[^"]*"')
+_NO_BRACKET = re.compile(r"[^()\[\]{}]+")
 
 
 def scan_fields(line: str) -> list[str] | None:
@@ -48,23 +53,26 @@ def scan_fields(line: str) -> list[str] | None:
 
 
 def split_lines(lines: DataFrame, key: str = "line_id", line: str = "raw_line") -> DataFrame:
-    """(key, fields, open): the fields of each line; `open` if its quoting is broken, then without fields.
+    """(key, __fault, __v0, __v1, __v2): the fields of each line; without them and with the fault if its quoting is broken or they aren't three.
 
     A null line is an empty one. A carriage return at the end is not part of the line.
     """
     import pyarrow as pa
 
-    whole = lines.select(key, F.regexp_replace(F.coalesce(F.col(line), F.lit("")), r"\r\z", "").alias("line"))
-    quoted = F.col("line").startswith('"') | F.col("line").contains('\t"')
-    plain = whole.filter(~quoted).select(key, F.split("line", "\t", -1).alias("fields"), F.lit(False).alias("open"))
-    kind = whole.schema[key].dataType.simpleString()
+    whole = lines.select(F.col(key).alias("__key"), F.regexp_replace(F.coalesce(F.col(line), F.lit("")), r"\r\z", "").alias("__line"))
+    quoted = F.col("__line").startswith('"') | F.col("__line").contains('\t"')
+    plain = whole.filter(~quoted).select("__key", F.split("__line", "\t", -1).alias("__fields"))
+    kind = whole.schema["__key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fields = [scan_fields(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fields, pa.list_(pa.string())), pa.array([f is None for f in fields])], [key, "fields", "open"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fields, pa.list_(pa.string()))], ["__key", "__fields"])
 
-    return plain.union(whole.filter(quoted).mapInArrow(run, f"{key} {kind}, fields array<string>, open boolean"))
+    split = plain.union(whole.filter(quoted).mapInArrow(run, f"__key {kind}, __fields array<string>"))
+    fault = F.when(F.col("__fields").isNull(), "quoting").when(F.size("__fields") != len(COLUMNS), "columns")
+    values = [F.when(fault.isNull(), F.get("__fields", F.lit(i))).alias(f"__v{i}") for i in range(len(COLUMNS))]
+    return split.select(F.col("__key").alias(key), fault.alias("__fault"), *values)
 
 
 def nests(brackets: str) -> bool:
@@ -78,60 +86,61 @@ def nests(brackets: str) -> bool:
     return not opened
 
 
-def invalid(column: str, value: Column) -> Column:
-    """Whether a value is invalid, as far as the JVM can tell; null for programs whose brackets are still to be checked."""
-    if column == "id":
-        return ~value.rlike(r"^[a-z]+-[0-9]{1,9}\z")
-    if column == "utterance":
-        return value.rlike(_BLANK) | value.rlike(r"[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{7f}\x{fffd}]")
-    trimmed = F.regexp_replace(value, r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]+\z", "")
-    odd = (F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))) % 2 == 1
-    return F.when((trimmed == "") | ~trimmed.endswith(";") | odd, True).when(brackets(value) == "", False)
-
-
-def brackets(value: Column) -> Column:
-    """The brackets outside quotation marks that are left after ROUNDS rounds of taking away empty pairs."""
-    left = F.regexp_replace(F.regexp_replace(value, r'"[^"]*"', ""), r"[^()\[\]{}]+", "")
-    for _ in range(ROUNDS):
-        left = F.regexp_replace(left, r"\(\)|\[\]|\{\}", "")
-    return left
+def invalid(at: int, value: str) -> bool:
+    """Whether a value of the column number `at` is invalid."""
+    if at == 0:
+        return not _ID(value)
+    if at == 1:
+        return not value or value.isspace() or bool(_CONTROL(value))
+    program = value.strip()
+    return not program.endswith(";") or program.count('"') % 2 == 1 or not nests(_NO_BRACKET.sub("", _QUOTED.sub("", program)))
 
 
 def invalid_values(split: DataFrame) -> DataFrame:
-    """(at, k1, k2): position and key of each distinct invalid value of the well-formed lines."""
+    """(at, k1, k2, reason): column number, key and reason of each distinct invalid value of the well-formed lines."""
     import pyarrow as pa
 
-    values = split.filter("NOT open AND size(fields) = 3").select(F.posexplode("fields").alias("at", "value")).distinct()
-    bad = F.lit(None).cast("boolean")
-    for at, column in enumerate(COLUMNS):
-        bad = F.when(F.col("at") == at, invalid(column, F.col("value"))).otherwise(bad)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"__v{i}").alias("value")) for i in range(len(COLUMNS))]))
+    values = split.filter("__fault IS NULL").select(each.alias("__e")).select("__e.at", "__e.value").groupBy("at", "value").agg(F.lit(1).alias("one"))
     k1, k2 = key128(F.col("value"))
-    checked = values.select("at", k1.alias("k1"), k2.alias("k2"), bad.alias("bad"), F.when(F.col("at") == 2, brackets(F.col("value"))).alias("left"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([not nests(x) for x in batch.column(3).to_pylist()], pa.bool_())).select(["at", "k1", "k2"])
+            at = batch.column(0).to_pylist()
+            bad = [n for n, (i, v) in enumerate(zip(at, batch.column(3).to_pylist())) if invalid(i, v)]
+            kept = batch.take(pa.array(bad, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[:3], pa.array([COLUMNS[at[n]] for n in bad], pa.string())], ["at", "k1", "k2", "reason"])
 
-    deep = checked.filter("bad IS NULL").select("at", "k1", "k2", "left").mapInArrow(run, "at int, k1 bigint, k2 bigint")
-    return checked.filter("bad").select("at", "k1", "k2").union(deep)
+    return values.select("at", k1.alias("k1"), k2.alias("k2"), "value").mapInArrow(run, "at int, k1 bigint, k2 bigint, reason string")
+
+
+def judged_lines(lines: DataFrame, key: str = "line_id", line: str = "raw_line") -> DataFrame:
+    """(key, __reason, __v0, __v1, __v2): every line with its fields and the first reason against it; a null reason for a valid one.
+
+    The split lines and the dictionary are checkpointed: both are read several times.
+    """
+    use_checkpoints(lines.sparkSession)
+    split = split_lines(lines, key, line).checkpoint()
+    reasons = invalid_values(split).checkpoint()
+    known = F.broadcast if reasons.limit(BROADCAST + 1).count() <= BROADCAST else lambda df: df
+    out, found = split, []
+    for i in range(len(COLUMNS)):
+        entries = reasons.filter(F.col("at") == i).select(F.col("k1").alias(f"__a{i}"), F.col("k2").alias(f"__b{i}"), F.col("reason").alias(f"__r{i}"))
+        k1, k2 = key128(F.col(f"__v{i}"))
+        out = out.join(known(entries), F.col(f"__v{i}").isNotNull() & (k1 == F.col(f"__a{i}")) & (k2 == F.col(f"__b{i}")), "left")
+        found.append(f"__r{i}")
+    return out.select(key, F.coalesce("__fault", *found).alias("__reason"), *[f"__v{i}" for i in range(len(COLUMNS))])
 
 
 def bad_lines(lines: DataFrame, key: str = "line_id", line: str = "raw_line") -> DataFrame:
-    """(key, reason): each bad line with the first reason that applies; lines with equal keys count as one."""
-    split = split_lines(lines, key, line)
-    structural = split.filter("open OR size(fields) <> 3").select(key, F.when(F.col("open"), "quoting").otherwise("columns").alias("reason"))
-    k1, k2 = key128(F.col("value"))
-    values = split.filter("NOT open AND size(fields) = 3").select(key, F.posexplode("fields").alias("at", "value")).select(key, "at", k1.alias("k1"), k2.alias("k2"))
-    first = values.join(invalid_values(split), ["at", "k1", "k2"], "left_semi").groupBy(key).agg(F.min("at").alias("at"))
-    names = F.array(*map(F.lit, COLUMNS))
-    return structural.union(first.select(key, F.element_at(names, F.col("at") + 1).alias("reason")))
+    """(key, reason): each bad line with the first reason that applies; repeated and null keys come once for each line."""
+    return judged_lines(lines, key, line).filter("__reason IS NOT NULL").select(key, F.col("__reason").alias("reason"))
 
 
 def valid_rows(lines: DataFrame, key: str = "line_id", line: str = "raw_line") -> DataFrame:
-    """(key, id, utterance, thingtalk) of the valid lines."""
-    split = split_lines(lines, key, line).filter("NOT open AND size(fields) = 3")
-    kept = split.join(bad_lines(lines, key, line).select(key), key, "left_anti")
-    return kept.select(key, *[F.col("fields")[i].alias(c) for i, c in enumerate(COLUMNS)])
+    """(key, id, utterance, thingtalk) of the valid lines, whatever other lines have the same key."""
+    kept = judged_lines(lines, key, line).filter("__reason IS NULL")
+    return kept.select(key, *[F.col(f"__v{i}").alias(c) for i, c in enumerate(COLUMNS)])
 
 
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
