@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters of the Latin-1 and Extended-A blocks and their base letters.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżžÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝĀĂĄĆĈĊČĎĒĔĖĘĚĜĞĠĢĤĨĪĬĮİĴĶĹĻĽŃŅŇŌŎŐŔŖŘŚŜŞŠŢŤŨŪŬŮŰŲŴŶŸŹŻŽ"
-BASE = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzzAAAAAACEEEEIIIINOOOOOUUUUYAAACCCCDEEEEEGGGGHIIIIIJKLLLNNNOOORRRSSSSTTUUUUUUWYYZZZ"
+MARKS = range(0x300, 0x370)
+
+
+def _accented() -> dict[str, str]:
+    """Each character that decomposes into one other and combining marks of MARKS, with that other one."""
+    out = {}
+    for code in range(0xC0, sys.maxunicode):
+        c = chr(code)
+        if unicodedata.decomposition(c)[:1] not in ("", "<"):
+            base = [x for x in unicodedata.normalize("NFD", c) if ord(x) not in MARKS]
+            if len(base) == 1 and base[0] != c:
+                out[c] = base[0]
+    return out
+
+
+#: Letters with accents of all scripts, and the letters without them.
+ACCENTED, BASE = map("".join, zip(*_accented().items()))
 #: Words that similarity leaves out.
 STOP_WORDS = "a an the of in on at to for by with and or is are was were be been it its this that from as".split()
 KEYWORDS = "class import query action list filter sort count sum avg min max any of true false null enum new".split()
@@ -18,8 +35,8 @@ def snake_case(c: Column) -> Column:
 
 
 def remove_accent(c: Column) -> Column:
-    """Accented Latin letters as their base letters; combining marks go."""
-    return F.regexp_replace(F.translate(c, ACCENTED, BASE), r"[̀-ͯ]", "")
+    """Letters with accents as the letters without; combining marks go. Letters that decompose into several, as Korean syllables do, stay composed."""
+    return F.regexp_replace(F.translate(c, ACCENTED, BASE), r"[\x{300}-\x{36f}]", "")
 
 
 def remove_end_punctuation(c: Column) -> Column:
@@ -32,7 +49,7 @@ def clean_name(c: Column) -> Column:
     s = snake_case(F.replace(c, F.lit("(s)"), F.lit("s")))
     s = remove_accent(F.replace(s, F.lit("u.s."), F.lit("us")))
     s = F.replace(F.regexp_replace(s, r"[^1-9a-zA-Z]", "_"), F.lit("__"), F.lit("_"))
-    return F.when(s.rlike(r"^[^a-zA-Z_]") | s.isin(*KEYWORDS), F.concat(F.lit("_"), s)).otherwise(s)
+    return F.when(~s.rlike(r"^[a-z_]") | s.isin(*KEYWORDS), F.concat(F.lit("_"), s)).otherwise(s)
 
 
 def stem(c: Column) -> Column:
@@ -48,14 +65,14 @@ def content_words(c: Column) -> Column:
 
 
 def similarity(a: Column, b: Column, metric: str = "f1") -> Column:
-    """Overlap of stemmed content words: f1 or jaccard. Words of a count as often as they occur; 0 if either side has none."""
+    """Overlap of stemmed content words: f1 or jaccard. Shared words of a count as often as they occur, all words of the union once; 0 if either side has none."""
     x, y = content_words(a), content_words(b)
     common = F.size(F.filter(x, lambda w: F.array_contains(y, w)))
     if metric == "f1":
         p, r = common / F.size(x), common / F.size(y)
         score = F.when(common == 0, 0.0).otherwise(2 * p * r / (p + r))
     else:
-        score = common / (F.size(x) + F.size(y) - common)
+        score = common / F.size(F.array_union(x, y))
     return F.when((F.size(x) == 0) | (F.size(y) == 0) | a.isNull() | b.isNull(), 0.0).otherwise(score)
 
 
@@ -67,9 +84,26 @@ def spans(c: Column) -> Column:
     return F.when(n > 0, F.flatten(by_length)).otherwise(F.array().cast("array<string>"))
 
 
-def sample_labels(labels: Column, k: int = 3) -> Column:
+def spans_in_order(c: Column) -> Column:
+    """All token n-grams of a text without the sign at its end, shortest first, from left to right within a length. Tokens stand between white space of any kind.
+
+    A blank end of the text is an empty token; an empty text has one empty span, a null none.
+    """
+    words = F.split(remove_end_punctuation(c), r"[\s\p{Z}\x{feff}]+", -1)
+    n = F.size(words)
+    by_length = F.transform(F.sequence(F.lit(1), n), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(words, i, k), " ")))
+    return F.when(c.isNotNull(), F.flatten(by_length)).otherwise(F.array().cast("array<string>"))
+
+
+def closest(text: Column, candidates: Column, metric: str = "f1", least: float = 0.0) -> Column:
+    """The candidate most similar to a text, the first of several; null if none is by more than `least`."""
+    scored = F.transform(candidates, lambda x, i: F.struct(similarity(text, x, metric).alias("score"), (-i).alias("place"), x.alias("x")))
+    return F.array_max(F.filter(scored, lambda s: s.score > least)).x
+
+
+def sample_labels(labels: Column, k: int = 5) -> Column:
     """The k shortest labels of letters, spaces and hyphens, without a leading "is ", in their order among equals."""
-    kept = F.filter(F.transform(labels, lambda x: F.regexp_replace(x, r"^is ", "")), lambda x: x.rlike(r"^[a-zA-Z -]+$"))
+    kept = F.filter(F.transform(labels, lambda x: F.regexp_replace(x, r"^is ", "")), lambda x: x.rlike(r"^[a-zA-Z -]+\z"))
     ranked = F.array_sort(F.transform(kept, lambda x, i: F.struct(F.length(x).alias("n"), i.alias("i"), x.alias("x"))))
     return F.slice(F.transform(ranked, lambda x: x.x), 1, k)
 

@@ -10,19 +10,24 @@ from pyspark.sql import functions as F
 from ..functions.text import safe_divide
 
 
-def answer_metrics(answers: DataFrame, expected: str = "expected", predicted: str = "predicted") -> DataFrame:
+def answer_metrics(answers: DataFrame, expected: str = "expected", predicted: str = "predicted", queries: tuple[str, str] | None = None, distinct: bool = False) -> DataFrame:
     """One row: n, micro_f1, precision, recall, f1, hits_at_1, exact of two columns of answer lists.
 
-    A null list is an empty one. Recall and precision of an example are averaged, and f1 is that of the
-    averages; 0/0 counts as 1, as for an empty prediction of an empty gold list.
+    A null list is an empty one. Answers count as often as they are listed, with `distinct` once. Recall and
+    precision of an example are averaged, and f1 is that of the averages; 0/0 counts as 1, as for an empty
+    prediction of an empty gold list. `exact` is the part of equal query texts, of the columns `queries`
+    (expected, predicted); without them that of equal sets of answers.
     """
-    e, p = (F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>"))) for c in (expected, predicted))
-    tp = F.size(F.array_intersect(e, p)).cast("double")
+    e, p = (F.coalesce(F.col(c), F.array().cast("array<string>")) for c in (expected, predicted))
+    e, p = (F.array_distinct(e), F.array_distinct(p)) if distinct else (e, p)
+    tp = F.size(F.filter(p, lambda x: F.array_contains(e, x))).cast("double")
+    fn = F.size(F.filter(e, lambda x: ~F.array_contains(p, x))).cast("double")
     first = F.coalesce(F.get(F.col(predicted), F.lit(0)), F.lit(None).cast("string"))
+    same = F.col(queries[0]).eqNullSafe(F.col(queries[1])) if queries else (F.size(F.array_except(e, p)) == 0) & (F.size(F.array_except(p, e)) == 0)
     rows = answers.select(
-        tp.alias("tp"), F.size(p).cast("double").alias("np"), F.size(e).cast("double").alias("ne"),
+        tp.alias("tp"), F.size(p).cast("double").alias("np"), (tp + fn).alias("ne"),
         F.coalesce(F.array_contains(e, first), (F.size(e) == 0) & (F.size(p) == 0)).cast("double").alias("hit"),
-        ((tp == F.size(e)) & (tp == F.size(p))).cast("double").alias("same"),
+        same.cast("double").alias("same"),
     )
     means = rows.agg(
         F.count("*").alias("n"), F.sum("tp").alias("tp"), F.sum("np").alias("np"), F.sum("ne").alias("ne"),
@@ -59,14 +64,34 @@ def property_usage(examples: DataFrame, program: str = "thingtalk") -> DataFrame
     return rows.groupBy("property").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds], F.count("*").alias("n_total"))
 
 
+#: Rows of a key range that are sorted at once.
+SORTED = 10_000
+
+
 def split_in_two(rows: DataFrame, key: str, size: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The first `size` rows by key (half, if no size is given) and the rest. The cut is found without moving all rows to one task."""
+    """The first `size` rows by key (half, if no size is given) and the rest; rows with a null key are in the rest, equal keys on one side.
+
+    The last key of the first part is found by counting ranges of keys, then ranges within the one that
+    it is in, and so on: no task sorts more than a range, and only counts come to the driver.
+    """
+    keys = rows.select(key).filter(F.col(key).isNotNull())
     n = rows.count()
     size = n // 2 if size is None else size
     if size <= 0:
         return rows.limit(0), rows
-    ordered = rows.select(key).orderBy(key).offset(size - 1).limit(1)
-    last = ordered.collect()
-    if not last:
-        return rows, rows.limit(0)
-    return rows.filter(F.col(key) <= last[0][0]), rows.filter(F.col(key) > last[0][0])
+    part, before, last = keys, 0, None
+    while last is None:
+        ranges = part.repartitionByRange(key).groupBy(F.spark_partition_id().alias("at")).agg(F.count("*").alias("n"), F.min(key).alias("least"), F.max(key).alias("most")).orderBy("least").collect()
+        for r in ranges:
+            if before + r.n >= size:
+                break
+            before += r.n
+        else:
+            return rows, rows.limit(0)
+        if r.least == r.most:
+            last = r.least
+        else:
+            part = keys.filter(F.col(key).between(r.least, r.most))
+            if r.n <= SORTED or len(ranges) == 1:
+                last = part.orderBy(key).offset(size - before - 1).limit(1).collect()[0][0]
+    return rows.filter(F.col(key) <= last), rows.filter((F.col(key) > last) | F.col(key).isNull())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import entity_ids
+from ..functions.text import entity_ids, sample_labels
 
 
 def oracle_links(examples: DataFrame, entities: DataFrame, key: str = "row_id", program: str = "thingtalk") -> DataFrame:
@@ -61,3 +61,43 @@ def add_if_absent(cache: DataFrame, new: DataFrame, key: str = "key") -> DataFra
     """A key-value cache with those new entries whose key it doesn't have yet; of several new ones the smallest value."""
     fresh = new.groupBy(key).agg(F.min("value").alias("value")).join(cache.select(key), key, "left_anti")
     return cache.select(key, "value").unionByName(fresh.select(key, "value"))
+
+
+def alt_labels_of(ids: DataFrame, aliases: DataFrame, lang: str | None = None) -> DataFrame:
+    """[id, aliases]: the distinct other names of each id, in order, of one language or all; an empty list where there are none."""
+    kept = aliases.filter("alias IS NOT NULL" if lang is None else F.col("alias").isNotNull() & (F.col("lang") == lang))
+    names = kept.groupBy("id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    return ids.select("id").join(names, "id", "left").select("id", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+
+
+def searched(texts: DataFrame, entities: DataFrame, aliases: DataFrame, k: int = 5) -> DataFrame:
+    """[text, id, rank]: the k entities whose label or alias is a text but for case and outer white space: labels first, then by number of the id.
+
+    Null and blank texts find nothing; a text is looked up once, however often it comes.
+    """
+    key = lambda c: F.lower(F.trim(c))
+    labels = entities.select(key("label").alias("k"), "id", F.lit(0).alias("by"))
+    named = labels.union(aliases.select(key("alias"), "id", F.lit(1))).filter("k != ''").groupBy("k", "id").agg(F.min("by").alias("by"))
+    number = F.expr("try_cast(substr(id, 2) AS bigint)")
+    best = F.slice(F.array_sort(F.collect_list(F.struct("by", number.alias("number"), "id"))), 1, k)
+    found = named.groupBy("k").agg(best.alias("best"))
+    wanted = texts.select("text").distinct().select("text", key("text").alias("k"))
+    ranked = wanted.join(found, "k").select("text", F.posexplode("best").alias("at", "e"))
+    return ranked.select("text", F.col("e.id").alias("id"), (F.col("at") + 1).alias("rank"))
+
+
+def ids_of_urls(urls: DataFrame, sitelinks: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """[url, id]: the entity of each page address: by the table of sitelinks [url, id], else the first found for the page's title, else null."""
+    direct = sitelinks.filter("url IS NOT NULL").groupBy("url").agg(F.min("id").alias("known"))
+    title = F.replace(F.try_url_decode(F.regexp_extract("url", r"([^/?#]+)(?:[?#].*)?\z", 1)), F.lit("_"), F.lit(" "))
+    pages = urls.select("url").filter("url IS NOT NULL").distinct().select("url", title.alias("text")).join(direct, "url", "left")
+    by_name = searched(pages.filter("known IS NULL").select("text"), entities, aliases, 1).select("text", F.col("id").alias("found"))
+    return pages.join(by_name, "text", "left").select("url", F.coalesce("known", "found").alias("id"))
+
+
+def canonical_names(entities: DataFrame, aliases: DataFrame, k: int = 5) -> DataFrame:
+    """[id, canonical]: each entity's label and the k aliases that sample_labels() takes, which a catalog lists as its names."""
+    names = alt_labels_of(entities.select("id"), aliases)
+    out = entities.select("id", "label").join(names, "id")
+    own = F.filter(F.array("label"), lambda x: x.isNotNull())
+    return out.select("id", F.array_distinct(F.concat(own, sample_labels(F.col("aliases"), k))).alias("canonical"))

@@ -71,8 +71,12 @@ def reach(edges: DataFrame, seeds: DataFrame, backward: bool = False, zero: bool
     return reached.union(seeds).distinct() if zero else reached
 
 
-def closure(edges: DataFrame, zero: bool = False) -> DataFrame:
-    """[s, v]: all pairs of which the second is reached from the first; with zero=True every node also with itself."""
+def closure(edges: DataFrame, zero: bool = False, starts: DataFrame | None = None) -> DataFrame:
+    """[s, v]: all pairs of which the second is reached from the first; with zero=True every node also with itself.
+
+    starts [n], distinct: only pairs from these nodes are followed. The few edges of a small hierarchy are
+    followed from all of its nodes all the same, which costs less than the join.
+    """
     use_checkpoints(edges.sparkSession)
     edges = edges.filter(F.col("s").isNotNull() & F.col("v").isNotNull()).select("s", "v").distinct()
     if (few := _steps(edges)) is not None:
@@ -83,8 +87,10 @@ def closure(edges: DataFrame, zero: bool = False) -> DataFrame:
                 break
         else:
             return numbers_frame(edges.sparkSession, s=[a for a, _ in found], v=[b for _, b in found])
-    new = edges.checkpoint()
-    steps, pairs = new.select(F.col("s").alias("v"), F.col("v").alias("t")), new
+    edges = edges.checkpoint()
+    steps = edges.select(F.col("s").alias("v"), F.col("v").alias("t"))
+    new = edges if starts is None else edges.join(starts.select(F.col("n").alias("s")), "s", "left_semi").checkpoint()
+    pairs = new
     while not new.isEmpty():
         found = new.join(steps, "v").select("s", F.col("t").alias("v")).distinct()
         new = found.join(pairs, ["s", "v"], "left_anti").checkpoint()

@@ -62,8 +62,8 @@ def domain_members(graph: Graph, cls: int) -> DataFrame:
 
 def domain_sizes(graph: Graph, big: tuple[int, ...] = ()) -> DataFrame:
     """[class, n]: instances of each class or its subclasses; infinite for the classes named as big ones."""
-    up = closure(graph.edges("P279")).select(F.col("s").alias("v"), F.col("v").alias("class"))
     direct = graph.edges("P31").distinct()
+    up = closure(graph.edges("P279"), starts=direct.select(F.col("v").alias("n")).distinct()).select(F.col("s").alias("v"), F.col("v").alias("class"))
     reached = direct.join(up, "v").select("s", "class").union(direct.select("s", F.col("v").alias("class")))
     sizes = reached.groupBy("class").agg(F.countDistinct("s").cast("double").alias("n"))
     return sizes.withColumn("n", F.when(F.col("class").isin(*big), float("inf")).otherwise(F.col("n"))) if big else sizes
@@ -84,9 +84,11 @@ def domain_sample(graph: Graph, cls: int, k: int = 100) -> DataFrame:
 def top_domains(graph: Graph, domains: list[int]) -> DataFrame:
     """[s, class]: for each entity the given domain that it belongs to and that has the fewest members; on a tie the larger number.
 
-    Reaching upwards goes through a closure, so a cycle of classes does no harm.
+    The classes below each domain are followed down from the domains, which are few; a cycle of classes does no harm.
     """
-    up = closure(graph.edges("P279"), zero=True).select(F.col("s").alias("v"), F.col("v").alias("class")).filter(F.col("class").isin(*domains))
+    named = numbers_frame(graph.spark, n=sorted(set(domains)))
+    down = closure(graph.edges("P279").select(F.col("v").alias("s"), F.col("s").alias("v")), starts=named)
+    up = down.filter(F.col("s").isin(*domains)).select("v", F.col("s").alias("class"))
     direct = graph.edges("P31").select("s", "v").distinct()
     own = direct.filter(F.col("v").isin(*domains)).select("s", F.col("v").alias("class"))
     belongs = direct.join(up, "v").select("s", "class").union(own).distinct()
@@ -108,3 +110,54 @@ def infer_catalog(graph: Graph, domains: dict[str, int], least: int = 10) -> Dat
     """[domain, pid, n_statements, n_values]: the properties of each domain, the manifest's content."""
     parts = [domain_properties(graph, c, least).select(F.lit(n).alias("domain"), "pid", "n_statements", "n_values") for n, c in sorted(domains.items()) if c]
     return reduce(DataFrame.union, parts)
+
+
+def statement_qualifiers(graph: Graph, entity: int, pid: str, value: int, qualifiers: tuple[str, ...]) -> DataFrame:
+    """[qualifier, value]: the distinct values that qualifiers have in an entity's statements of one value, as texts.
+
+    With a property's constraint statements as the graph has them, these are its allowed units.
+    """
+    mine = graph.statements(pid).filter((F.col("s") == entity) & (F.col("v") == value))
+    kinds = graph.property(pid).qualifiers
+    text = lambda q: F.concat(F.lit("Q"), F.col(f"q_{q}").cast("string")) if kinds[q] == "entity" else F.col(f"q_{q}").cast("string")
+    pairs = F.explode(F.array(*[F.struct(F.lit(q).alias("qualifier"), text(q).alias("value")) for q in qualifiers]))
+    return mine.select(pairs.alias("p")).select("p.*").filter("value IS NOT NULL").distinct()
+
+
+def value_range(graph: Graph, entity: int, pid: str, value: int, least: str, most: str) -> DataFrame:
+    """[least, most]: one row, the range that an entity's statements of one value give by two qualifiers; nulls if there is none."""
+    mine = graph.statements(pid).filter((F.col("s") == entity) & (F.col("v") == value))
+    return mine.agg(F.min(f"q_{least}").alias("least"), F.max(f"q_{most}").alias("most"))
+
+
+def domain_entities(graph: Graph, ids: DataFrame) -> DataFrame:
+    """[id, is_domain] of ids [id]: whether each has a superclass, which is what makes it a domain."""
+    classes = graph.edges("P279").select(F.col("s").alias("id")).distinct().withColumn("is_domain", F.lit(True))
+    return ids.select("id").distinct().join(classes, "id", "left").select("id", F.coalesce("is_domain", F.lit(False)).alias("is_domain"))
+
+
+def members_of(graph: Graph, domains: list[int]) -> DataFrame:
+    """[s, class]: the members of each of some classes, those of subclasses too; followed down from the classes."""
+    down = closure(graph.edges("P279").select(F.col("v").alias("s"), F.col("s").alias("v")), starts=numbers_frame(graph.spark, n=sorted(set(domains))))
+    below = down.filter(F.col("s").isin(*domains)).select("v", F.col("s").alias("class"))
+    direct = graph.edges("P31").select("s", "v").distinct()
+    own = direct.filter(F.col("v").isin(*domains)).select("s", F.col("v").alias("class"))
+    return direct.join(below, "v").select("s", "class").union(own).distinct()
+
+
+def inferred_manifest(graph: Graph, domains: dict[str, int], least: int = 10, least_qualified: int = 10) -> DataFrame:
+    """[domain, pid, name, kind, n_statements, n_values, qualifiers]: what a manifest lists of each domain.
+
+    Properties that the domain's members have in `least` statements, with their name and kind, and the
+    qualifiers of `least_qualified` of these, in order, separated by spaces. All domains are read in one pass.
+    """
+    statements = graph.bulk() if graph.bulk else reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [graph.statements(p.pid).withColumn("pid", F.lit(p.pid)) for p in graph.properties.values() if p.kind == "entity"])
+    names = sorted(c for c in statements.columns if c.startswith("q_"))
+    joined = statements.filter("v IS NOT NULL").join(members_of(graph, list(domains.values())), "s")
+    counts = joined.groupBy("class", "pid").agg(F.count("*").alias("n_statements"), F.countDistinct("v").alias("n_values"), *[F.count(c).alias(c) for c in names]).filter(F.col("n_statements") >= least)
+    listed = [F.when(F.col(c) >= least_qualified, c[2:]) for c in names]
+    of_class = F.create_map(*[F.lit(x) for n, c in domains.items() for x in (c, n)])
+    of_pid = F.create_map(*[F.lit(x) for p in graph.properties.values() for x in (p.pid, p.name)])
+    kinds = F.create_map(*[F.lit(x) for p in graph.properties.values() for x in (p.pid, p.kind)])
+    qualifiers = F.concat_ws(" ", *listed) if listed else F.lit("")
+    return counts.select(of_class[F.col("class").cast("int")].alias("domain"), "pid", of_pid[F.col("pid")].alias("name"), kinds[F.col("pid")].alias("kind"), "n_statements", "n_values", qualifiers.alias("qualifiers"))

@@ -54,6 +54,14 @@ class Inv:
     path: object
 
 
+@dataclass(frozen=True)
+class Other:
+    """Any one property that is none of these, forward and, if `back` is given, backward none of those."""
+
+    pids: tuple
+    back: tuple | None = None
+
+
 @dataclass(frozen=True)
 class Triple:
     s: Term

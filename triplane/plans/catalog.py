@@ -37,8 +37,12 @@ class Abstract:
     members: list[str]
 
 
+#: The class that stands for the states of one country, and their own class.
+ALSO = {107390: (475050,)}
+
+
 class Graph:
-    def __init__(self, spark: SparkSession, properties: list[Property], domains: dict[str, int], labels: Callable[[], DataFrame], abstract: list[Abstract] = (), transitive: set[str] = frozenset(), descriptions: Callable[[], DataFrame] | None = None, bulk: Callable[[], DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, properties: list[Property], domains: dict[str, int], labels: Callable[[], DataFrame], abstract: list[Abstract] = (), transitive: set[str] = frozenset({"P131", "P361"}), descriptions: Callable[[], DataFrame] | None = None, bulk: Callable[[], DataFrame] | None = None):
         self.spark = spark
         self.properties = {p.pid: p for p in properties}
         self.names = {p.name: p.pid for p in [*properties, *abstract]}
@@ -48,6 +52,8 @@ class Graph:
         self.bulk = bulk
         #: Properties that always stand for one or more steps.
         self.transitive = set(transitive)
+        #: Classes whose members count as those of another one too.
+        self.also: dict[int, tuple[int, ...]] = {k: v for k, v in ALSO.items() if k in domains.values()}
 
     def property(self, pid: str) -> Property:
         if pid not in self.properties:
@@ -158,6 +164,9 @@ def trade_graph(spark: SparkSession, directory: str) -> Graph:
         P("P8002", "total", "value", direct("order", "", "o_totalprice")), P("P585", "point_in_time", "value", direct("order", "", "o_orderdate")),
         P("P1716", "brand", "value", direct("part", "", "p_brand")), P("P8003", "segment", "value", direct("customer", "", "c_mktsegment")),
         P("P8004", "priority", "value", direct("order", "", "o_orderpriority")), P("P8005", "ordered_by", "entity", direct("order", "", node("customer", "o_custkey"))),
+        P("P361", "part_of", "entity", union(direct("customer", "", node("nation", "c_nationkey")), in_region)),
+        P("P21", "sex_or_gender", "entity", direct("customer", "", F.when(F.col("c_custkey") % 2 == 0, 6581072).otherwise(6581097).cast("bigint"))),
+        P("P8006", "placed", "entity", lambda: t("orders").select(node("customer", "o_custkey").alias("s"), node("order", "o_orderkey").alias("v"))),
         P("P527", "has_part", "entity", has_part, {"P1114": "value", "P2284": "value", "P585": "value", "P176": "entity", "P582": "value"}),
         P("P176", "supplied_by", "entity", lambda: has_part().select(F.col("v").alias("s"), F.col("q_P176").alias("v"))), P("P1114", "quantity", "value", lambda: has_part().select("s", F.col("q_P1114").alias("v"))),
         P("P1344", "participant_in", "value", activity, {"P580": "value", "P582": "value"}), P("P580", "start_time", "value", lambda: activity().select("s", F.col("q_P580").alias("v"))), P("P582", "end_time", "value", lambda: activity().select("s", F.col("q_P582").alias("v"))),
@@ -168,4 +177,4 @@ def trade_graph(spark: SparkSession, directory: str) -> Graph:
         return reduce(DataFrame.union, [t(KEYS[k][0]).select(node(k, KEYS[k][1]).alias("id"), F.col(c).alias("label")) for k, c in named])
 
     abstract = [Abstract("P8801", "place", "any", ["P30", "P17", "P131"]), Abstract("P8802", "whereabouts", "all", ["P17", "P30"])]
-    return Graph(spark, properties, {"entity": 0} | CLASSES, labels, abstract, {"P131"})
+    return Graph(spark, properties, {"entity": 0} | CLASSES, labels, abstract)

@@ -7,7 +7,8 @@ and Catalyst orders, pushes down and picks the physical joins. Rules of its own:
 - a path to or from a constant is followed from the constant, level by level, not computed for all pairs;
 - a pattern that only tests existence becomes a left semi join where the result is a set;
 - a separate pattern that meets the rest in one inequality is reduced to its least or greatest value,
-  one row, instead of a nested-loop join of two sides that grow.
+  one row, instead of a nested-loop join of two sides that grow;
+- parts that nothing connects are refused: their product is asked for by a flag.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..operators.paths import closure, reach, reach_few
 from ..runtime import numbers_frame
-from .algebra import AnyOf, Absent, Agg, Alt, Bind, Call, Ent, Filter, Inv, Label, Lit, Maybe, Prop, Query, Repeat, Seq, Stmt, Sub, Triple, Unsupported, Values, Var, variables
+from .algebra import AnyOf, Absent, Agg, Alt, Bind, Call, Ent, Filter, Inv, Label, Lit, Maybe, Other, Prop, Query, Repeat, Seq, Stmt, Sub, Triple, Unsupported, Values, Var, variables
 from .catalog import Graph
 
 UNIT = "__unit"
@@ -39,8 +40,8 @@ class Frame:
 
 
 class Planner:
-    def __init__(self, graph: Graph):
-        self.graph = graph
+    def __init__(self, graph: Graph, products: bool = False):
+        self.graph, self.products = graph, products
 
     # Paths
 
@@ -54,6 +55,8 @@ class Planner:
             return self.kind(path.parts[0], end)
         if isinstance(path, Inv):
             return self.kind(path.path, "s" if end == "v" else "v")
+        if isinstance(path, Other):
+            return "entity"
         return self.kind(path.path, end)
 
     def pairs(self, path) -> DataFrame:
@@ -64,20 +67,30 @@ class Planner:
             return self.pairs(path.path).select(F.col("v").alias("s"), F.col("s").alias("v"))
         if isinstance(path, Alt):
             return reduce(DataFrame.union, map(self.pairs, path.parts))
+        if isinstance(path, Other):
+            return self.others(path)
         if isinstance(path, Repeat):
             return closure(self.pairs(path.path), path.zero)
         out = self.pairs(path.parts[0])
         for i, part in enumerate(path.parts[1:]):
-            if isinstance(part, Repeat):  # only what is reached from here is needed
-                step = closure(self.pairs(part.path), part.zero)
-                if part.zero:  # nodes without an edge of the closure's property stand for themselves
-                    own = out.select(F.col("v").alias("s"), F.col("v").alias("v")).distinct()
-                    step = step.union(own).distinct()
+            if isinstance(part, Repeat):  # only what is reached from here is followed
+                starts = out.select(F.col("v").alias("n")).distinct()
+                step = closure(self.pairs(part.path), starts=starts)
+                if part.zero:  # every node is reached from itself, with or without an edge
+                    step = step.union(starts.select(F.col("n").alias("s"), F.col("n").alias("v"))).distinct()
             else:
                 step = self.pairs(part)
             out = out.withColumnRenamed("v", "__m").join(step.select(F.col("s").alias("__m"), "v"), "__m").select("s", "v")
         return out
 
+    def others(self, path: Other) -> DataFrame:
+        """[s, v] of the entity-valued properties that are not in a set; those of a set of inverse ones the other way round."""
+        edges = self.graph.all_edges()
+        out = [edges.filter(~F.col("pid").isin(*path.pids)).select("s", "v")] if path.pids else []
+        if path.back is not None:
+            out.append(edges.filter(~F.col("pid").isin(*path.back)).select(F.col("v").alias("s"), F.col("s").alias("v")))
+        return reduce(DataFrame.union, out)
+
     def ends(self, path, start, backward: bool) -> DataFrame:
         """[n], or a list of few nodes: where a path leads from a constant or from nodes; backward, from where it leads there.
 
@@ -100,7 +113,8 @@ class Planner:
                     return few
             return reach(pairs, self.nodes(start), backward, path.zero)
         near, far = ("v", "s") if backward else ("s", "v")
-        edges = self.graph.edges(path.pid).select(F.col(near).alias("a"), F.col(far).alias("n"))
+        pairs = self.others(path) if isinstance(path, Other) else self.graph.edges(path.pid)
+        edges = pairs.select(F.col(near).alias("a"), F.col(far).alias("n"))
         if isinstance(start, DataFrame):
             return edges.join(start.select(F.col("n").alias("a")), "a").select("n")
         if isinstance(start, list):
@@ -207,7 +221,7 @@ class Planner:
     def group(self, patterns: tuple, needed: set[str] | None = None) -> Frame:
         """Joined patterns. needed: the variables used outside, if rows may be treated as a set; None keeps multiplicity."""
         plain = [p for p in patterns if isinstance(p, (Triple, Stmt, Label, AnyOf, Values, Sub))]
-        rest = [p for p in patterns if p not in plain]
+        rest = [x for p in patterns if p not in plain for x in self.conditions(p)]
         used = None if needed is None else needed | variables(tuple(rest))
         out = self.joined(plain, used, rest)
         for p in rest:
@@ -222,6 +236,12 @@ class Planner:
                 out = self.meet(out, self.group(p.group), "left_anti")
         return out
 
+    def conditions(self, p) -> list:
+        """A filter by several conditions that must all hold as one filter for each."""
+        if isinstance(p, Filter) and isinstance(p.expr, Call) and p.expr.name == "&&":
+            return [x for e in p.expr.args for x in self.conditions(Filter(e))]
+        return [p]
+
     def joined(self, patterns: list, used: set[str] | None, rest: list) -> Frame:
         self.taken: list = getattr(self, "taken", [])
         if not patterns:
@@ -258,12 +278,15 @@ class Planner:
             if name in ("<", "<=", ">", ">=") and all(isinstance(a, Var) for a in args):
                 mine = next(a.name for a in args if a.name in names)
                 less = (name[0] == "<") == (args[0].name == mine)
+                self.taken.append(touching[0])
                 edge = frame.df.agg((F.min if less else F.max)(mine).alias(mine))
                 return Frame(out.df.join(F.broadcast(edge), self.expr(touching[0].expr)).select(*out.df.columns), out.kinds)
         if not names:
             exists = frame.df.limit(1)
             return Frame(out.df.join(F.broadcast(exists.select(F.lit(1).alias("__e"))), F.lit(True), "left_semi"), out.kinds)
         conditions = [self.expr(f.expr) for f in touching if variables(f) <= names | set(out.names)]
+        if not conditions and not self.products:
+            raise Unsupported(f"parts of a query that share neither a variable nor a condition: {', '.join(sorted(names))}")
         self.taken += [f for f in touching if variables(f) <= names | set(out.names)]
         return Frame(out.df.join(frame.df, reduce(Column.__and__, conditions, F.lit(True))), out.kinds | frame.kinds)
 
@@ -275,6 +298,8 @@ class Planner:
                 return Frame(a.df.join(F.broadcast(right.limit(1).select(F.lit(1).alias("__e"))), F.lit(True), "left_semi"), a.kinds)
             if how == "left_anti":
                 return Frame(a.df.join(F.broadcast(right.limit(1).select(F.lit(1).alias("__e"))), F.lit(True), "left_anti"), a.kinds)
+            if not self.products:
+                raise Unsupported(f"an optional part that shares no variable with the rest: {', '.join(b.names)}")
             return Frame(a.df.join(right, F.lit(True), how), a.kinds | b.kinds)
         return Frame(a.df.join(right, shared, how), a.kinds if how in ("left_semi", "left_anti") else b.kinds | a.kinds)
 
@@ -401,5 +426,6 @@ class Planner:
         return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[a.op](a.var.name)
 
 
-def run(graph: Graph, query: Query) -> DataFrame:
-    return Planner(graph).run(query)
+def run(graph: Graph, query: Query, products: bool = False) -> DataFrame:
+    """The query's result. A query whose parts share neither a variable nor a condition is refused, unless `products` asks for every combination."""
+    return Planner(graph, products).run(query)

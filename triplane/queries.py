@@ -15,7 +15,7 @@ from .functions import text as X
 from .operators import evaluate, linking, profile
 from .operators.paths import closure
 from .plans import templates as T
-from .plans.catalog import statement_graph, trade_graph
+from .plans.catalog import PROPERTY_NAMES, statement_graph, trade_graph
 from .runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,6 +218,70 @@ def template_describe(spark, d):
     return T.describe(statement_graph(spark, d), _HUB)
 
 
+# Numbered patterns
+
+
+def pattern(number: int, sql: str, year: int | None = None, graph=trade_graph, **parameters) -> None:
+    QUERIES[f"pattern_{number:02}"] = lambda spark, d: T.pattern(graph(spark, d), number, year, **parameters)
+    ORACLE_SQL[f"pattern_{number:02}"] = sql
+
+
+def first(v: str, source: str, where: str, by: str, name: str = "x", desc: bool = False, n: int = 1, entity: bool = True) -> str:
+    """The entity or value v of the least or greatest `by`, the smaller one on a tie."""
+    best = f"SELECT v FROM (SELECT {v} AS v, {'max' if desc else 'min'}({by}) AS b FROM {source} WHERE {where} GROUP BY 1) ORDER BY b{' DESC' if desc else ''}, v LIMIT 1 OFFSET {n - 1}"
+    return f"SELECT {q('v') if entity else 'v'} AS {name} FROM ({best})"
+
+
+_L = f"{_LINES} l"
+_ON, _PART, _CUSTOMER = 140000000, 130000000, 120000000
+_SUPPLIED = f"{_LINES} l JOIN supplier ON supp = 110000000 + s_suppkey"
+_ORDERED = f"{_LINES} l JOIN orders ON s = 140000000 + o_orderkey"
+_DATES = {"s": "P585", "e": "P582"}
+_HELD = "edges WHERE pid = 'P9001' AND v IS NOT NULL"
+
+pattern(1, "SELECT id, domain_name || ' of the graph' AS text FROM entities WHERE id = 'Q7000001'", graph=statement_graph, q0=7000001)
+pattern(2, result("s", _SUPPLIED, f"v = {_PART + 861} AND s_nationkey = 9 AND ended IS NULL", "x"), p="P527", q="P176", r="P17", a=_PART + 861, q0=102009)
+pattern(3, result("s", _SUPPLIED, f"v = {_PART + 184} AND s_nationkey = 16 AND ended IS NULL", "x"), p="P527", q="P176", r="P17", a=_PART + 184, q0=102016)
+pattern(4, result("s", _SUPPLIED, f"v = {_PART + 162} AND s_nationkey = 19 AND ship < TIMESTAMP '1998-01-01' AND ended >= TIMESTAMP '1997-01-01'", "x"), 1997, p="P527", q="P176", r="P17", a=_PART + 162, q0=102019, **_DATES)
+pattern(5, result("102000 + s_nationkey", _SUPPLIED, f"s = {_ON + 3710} AND v = {_PART + 228}", "v"), p="P527", q="P176", r="P17", a=_PART + 228, q0=_ON + 3710)
+pattern(6, f"SELECT min(ship) AS y FROM {_L} WHERE s = {_ON + 3710} HAVING min(ship) IS NOT NULL", p="P527", q="P31", q0=_ON + 3710, q1=903, **_DATES)
+pattern(7, f"SELECT max(ended) AS y FROM {_L} WHERE s = {_ON + 3710} HAVING max(ended) IS NOT NULL", p="P527", q="P31", q0=_ON + 3710, q1=903, **_DATES)
+pattern(8, result("a.s", f"{_LINES} a JOIN {_LINES} c ON a.ship = c.ship", f"a.v = {_PART + 991} AND c.s = {_ON + 1} AND c.v = {_PART + 1907}", "x"), p="P527", s="P585", a=_PART + 1907, b=_PART + 991, q0=_ON + 1)
+pattern(9, result("v", _L, f"s = {_ON + 3710} AND v IN (SELECT 130000000 + p_partkey FROM part)", "v"), p="P527", q0=_ON + 3710, q1=903)
+pattern(10, result("a.v", "edges a JOIN edges b ON a.q_start < b.q_start AND a.q_end >= b.q_start", "a.pid = 'P9001' AND a.s = 10003720 AND b.s = 10000652 AND a.v IS NOT NULL", "x"), graph=statement_graph, p="P9001", t="P580", a=10003720, b=10000652)
+pattern(11, result("s", _ORDERED, f"v = {_PART + 1784}", "x"), p="P527", q0=_PART + 1784, q1=904)
+pattern(12, result("v", _L, f"s = {_ON + 3710}", "v"), p="P527", q0=_ON + 3710, q1=920)
+pattern(13, first("110000000 + s_suppkey", "supplier", "TRUE", "s_acctbal", desc=True, n=2), p="P8001", q0=902)
+pattern(14, first("120000000 + c_custkey", "customer", "TRUE", "c_acctbal", desc=True), p="P8001", q0=901)
+pattern(15, result("v", _L, f"s = {_ON + 3710} AND ship >= TIMESTAMP '1996-01-01' AND ship < TIMESTAMP '1997-01-01'", "v"), 1996, p="P527", q0=_ON + 3710)
+pattern(16, result("supp", _L, f"s = {_ON + 3710}", "v"), p="P527", q="P176", a=920, q0=_ON + 3710)
+pattern(17, f"SELECT DISTINCT o_orderdate AS y FROM {_ORDERED} WHERE o_custkey = 102 AND v = {_PART + 1784}", p="P527", q="P8005", q0=_CUSTOMER + 102, q1=_PART + 1784)
+pattern(18, f"SELECT DISTINCT o_orderdate AS y FROM {_ORDERED} WHERE o_custkey = 518 AND v = {_PART + 529}", p="P527", q="P8005", q0=_CUSTOMER + 518, q1=_PART + 529)
+pattern(19, f"SELECT max(o_orderdate) AS y FROM {_ORDERED} WHERE o_custkey = 801 AND v = {_PART + 1165} HAVING max(o_orderdate) IS NOT NULL", p="P527", q="P8005", a=_CUSTOMER + 801, q0=_PART + 1165)
+pattern(20, result("v", _L, f"s = {_ON + 3710}", "v"), p="P527", q0=_ON + 3710, q1=920)
+pattern(21, result("v", _L, f"s = {_ON + 3710}", "v"), p="P527", s="P585", q0=_ON + 3710)
+pattern(22, first("s", _ORDERED, f"v = {_PART + 529}", "o_orderdate", desc=True), p="P527", t="P585", a=904, q0=_PART + 529)
+pattern(23, f"SELECT min(o_orderdate) AS y FROM {_ORDERED} WHERE o_custkey = 836 AND v = {_PART + 1554} HAVING min(o_orderdate) IS NOT NULL", p="P527", q="P8005", t="P585", a=_CUSTOMER + 836, q0=_PART + 1554)
+pattern(24, f"SELECT max(ship) AS y FROM {_L} WHERE s = {_ON + 3710} AND v = {_PART + 228} HAVING max(ship) IS NOT NULL", p="P527", q0=_PART + 228, q1=_ON + 3710)
+pattern(25, first("v", _L, f"s = {_ON + 3710}", "ship", "v"), p="P527", s="P585", q0=_ON + 3710)
+pattern(26, first("140000000 + o_orderkey", "orders", "o_custkey = 102", "o_orderdate"), p="P8005", t="P585", a=904, q0=_CUSTOMER + 102)
+pattern(27, first("supp", _L, f"s = {_ON + 3710}", "ship", "v", desc=True), p="P527", q="P176", s="P585", q0=_ON + 3710)
+pattern(28, first("s", _ORDERED, f"v = {_PART + 1784} AND o_custkey = 102", "ship", desc=True), p="P527", q="P8005", s="P585", a=_CUSTOMER + 102, q0=_PART + 1784)
+pattern(29, result("102000 + c_nationkey", "orders JOIN customer ON o_custkey = c_custkey", "o_orderkey = 3710", "v"), p="P8005", q="P17", q0=_ON + 3710)
+pattern(30, first("v", f"{_ORDERED} JOIN customer ON o_custkey = c_custkey", "c_nationkey = 3 AND supp = 110000042", "c_acctbal"), p="P527", q="P17", t="P8001", r="P8006", u="P176", q0=110000042, q1=102003)
+pattern(31, result("supp", _L, f"s = {_ON + 3710}", "v"), p="P527", q="P176", a=902, q0=_ON + 3710)
+pattern(32, result("v", "edges", "pid = 'P279' AND s = 6000004 AND v IS NOT NULL", "v"), graph=statement_graph, q0=6000004)
+pattern(33, f"SELECT max(o_orderdate) AS y FROM {_ORDERED} WHERE v = {_PART + 1784} HAVING max(o_orderdate) IS NOT NULL", p="P527", q0=_PART + 1784, q1=904)
+pattern(34, result("supp", _L, f"s = {_ON + 3710} AND v = {_PART + 228}", "v"), q="P176", q0=_PART + 228, q1=_ON + 3710)
+pattern(35, first("v", _L, f"s = {_ON + 7616}", "ship", "v"), p="P527", s="P585", q0=_ON + 7616)
+pattern(36, first("v", "edges", "pid = 'P279' AND s = 6000030 AND v IS NOT NULL AND q_start IS NOT NULL", "q_start", "v"), graph=statement_graph, p="P279", q0=6000030)
+pattern(37, result("supp", _L, f"s = {_ON + 7616} AND v = {_PART + 1534}", "v"), q="P176", q0=_PART + 1534, q1=_ON + 7616)
+pattern(38, result("a.v", "edges a JOIN edges b ON a.q_start >= b.q_start JOIN edges c ON a.q_start <= c.q_end", "a.pid = 'P9001' AND a.s = 10000652 AND a.v IS NOT NULL AND b.s = 10003720 AND c.s = 10003720", "x"), graph=statement_graph, p="P9001", q0=10000652, q1=10003720)
+pattern(39, result("s", f"{_ORDERED} JOIN customer ON o_custkey = c_custkey", f"c_nationkey = 20 AND v = {_PART + 1784}", "x"), p="P527", q="P17", r="P8006", q0=102020, q1=_PART + 1784)
+pattern(40, result("a.s", "edges a JOIN edges c ON a.q_start >= c.q_start AND a.q_end <= c.q_end", f"a.pid = 'P9001' AND a.v = {_HUB} AND c.pid = 'P9001' AND c.s = 10003720 AND c.v = {_HUB}", "x"), graph=statement_graph, p="P9001", q0=_HUB, q1=10003720, q2=_HUB)
+
+
+
 # Profiling
 
 
@@ -306,15 +370,8 @@ def remove_accent(spark, d):
     return labels(spark, d).select("id", X.remove_accent(F.col("label")).alias("name"))
 
 
-@call("remove_end_punctuation", "SELECT row_id, regexp_replace(utterance, '[.!?]$', '') AS text FROM examples WHERE utterance IS NOT NULL AND NOT contains(utterance, chr(10))")
-def remove_end_punctuation(spark, d):
-    rows = table(spark, d, "examples").filter(F.col("utterance").isNotNull() & ~F.col("utterance").contains("\n"))
-    return rows.select("row_id", X.remove_end_punctuation(F.col("utterance")).alias("text"))
-
-
 @call("remove_end_punctuation_all", r"SELECT row_id, regexp_replace(utterance, '[.!?]\z', '') AS text FROM examples WHERE utterance IS NOT NULL")
 def remove_end_punctuation_all(spark, d):
-    """All utterances. The SQL of remove_end_punctuation leaves out those with a line feed, and so does that query."""
     return table(spark, d, "examples").filter("utterance IS NOT NULL").select("row_id", X.remove_end_punctuation(F.col("utterance")).alias("text"))
 
 
@@ -339,27 +396,43 @@ def year_if_new_year(spark, d):
     return table(spark, d, "edges").select("edge_id", X.year_if_new_year(F.col("q_start")).cast("bigint").alias("year"))
 
 
-@call("similarity_f1", None)
+_STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+_STEM = r"regexp_replace(regexp_replace(regexp_replace(w, '^(\w{2,})ies$', '\1y'), '^(\w{3,})(?:ing|ed|es)$', '\1'), '^(\w{2,}[^s])s$', '\1')"
+_WORDS = "list_transform(list_filter(regexp_split_to_array(lower(TEXT), '[^\\pL\\pN]+'), lambda w: w <> '' AND w NOT IN (" + _STOP + ")), lambda w: " + _STEM + ")"
+_SIMILAR = f"(WITH w AS (SELECT a.id, alias, label, {_WORDS.replace('TEXT', 'alias')} AS x, {_WORDS.replace('TEXT', 'label')} AS y FROM entity_aliases a JOIN entities e ON a.id = e.id), c AS (SELECT *, len(list_filter(x, lambda v: list_contains(y, v)))::DOUBLE AS n FROM w) SELECT id, alias, CASE WHEN len(x) = 0 OR len(y) = 0 OR n = 0 OR n IS NULL THEN 0 ELSE 2 * (n / len(x)) * (n / len(y)) / (n / len(x) + n / len(y)) END AS f1, CASE WHEN len(x) = 0 OR len(y) = 0 OR n IS NULL THEN 0 ELSE n / len(list_distinct(list_concat(x, y))) END AS jaccard FROM c)"
+
+
+@call("similarity_f1", f"SELECT id, alias, round(f1, 6) AS f1, round(jaccard, 6) AS jaccard FROM {_SIMILAR}")
 def similarity_f1(spark, d):
     """Similarity of each alias to its entity's label."""
     e = labels(spark, d).select("id", "label")
     return table(spark, d, "entity_aliases").join(e, "id").select("id", "alias", F.round(X.similarity(F.col("alias"), F.col("label")), 6).alias("f1"), F.round(X.similarity(F.col("alias"), F.col("label"), "jaccard"), 6).alias("jaccard"))
 
 
-@call("closest_label", None)
+@call("closest_label", f"SELECT id, alias FROM {_SIMILAR} WHERE f1 > 0.2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY f1 DESC, alias) = 1")
 def closest_label(spark, d):
-    """For each entity its alias that is most similar to its label, if any is by more than 0.2; the first in order on a tie."""
-    e = labels(spark, d).select("id", "label")
-    scored = table(spark, d, "entity_aliases").join(e, "id").withColumn("score", X.similarity(F.col("alias"), F.col("label")))
-    return scored.filter("score > 0.2").groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("r"), "alias")).alias("b")).select("id", F.col("b.alias").alias("alias"))
+    """For each entity the first of its aliases, in order, that is most similar to its label, if any is by more than 0.2."""
+    grouped = table(spark, d, "entity_aliases").groupBy("id").agg(F.array_sort(F.collect_set("alias")).alias("aliases")).join(labels(spark, d).select("id", "label"), "id")
+    return grouped.select("id", X.closest(F.col("label"), F.col("aliases"), least=0.2).alias("alias")).filter("alias IS NOT NULL")
 
 
-@call("sample_labels", None)
+@call("sample_labels", "WITH a AS (SELECT DISTINCT id, alias FROM entity_aliases), b AS (SELECT id, regexp_replace(alias, '^is ', '') AS x, row_number() OVER (PARTITION BY id ORDER BY alias) AS i FROM a WHERE alias IS NOT NULL), c AS (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY length(x), i) AS r FROM b WHERE regexp_matches(x, '^[a-zA-Z -]+$')), s AS (SELECT id, string_agg(x, '|' ORDER BY r) AS aliases FROM c WHERE r <= 2 GROUP BY id) SELECT a.id, coalesce(s.aliases, '') AS aliases FROM (SELECT DISTINCT id FROM a) a LEFT JOIN s ON a.id = s.id")
 def sample_labels(spark, d):
     grouped = table(spark, d, "entity_aliases").groupBy("id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
     return grouped.select("id", F.array_join(X.sample_labels(F.col("aliases"), 2), "|").alias("aliases"))
 
 
+@call("remove_accent_labels", "SELECT label_id, strip_accents(label) AS name FROM labels WHERE label IS NOT NULL")
+def remove_accent_labels(spark, d):
+    """Labels of all scripts without accents."""
+    return table(spark, d, "labels").filter("label IS NOT NULL").select("label_id", X.remove_accent(F.col("label")).alias("name"))
+
+
+@call("spans_in_order", r"WITH w AS (SELECT id, alias, regexp_split_to_array(regexp_replace(alias, '[.!?]\z', ''), '\s+') AS t FROM entity_aliases WHERE alias IS NOT NULL), k AS (SELECT *, unnest(range(1, len(t) + 1)) AS n FROM w), p AS (SELECT *, unnest(range(1, len(t) - n + 2)) AS i FROM k) SELECT id, alias, (n - 1) * (len(t) + 1) - n * (n - 1) // 2 + i - 1 AS position, array_to_string(t[i : i + n - 1], ' ') AS span FROM p")
+def spans_in_order(spark, d):
+    return table(spark, d, "entity_aliases").select("id", "alias", F.posexplode(X.spans_in_order(F.col("alias"))).alias("position", "span"))
+
+
 # Labels, links and datasets
 
 
@@ -444,7 +517,7 @@ def candidate_ranking(spark, d):
 
 @call("evaluate_metrics", "WITH a AS (SELECT list_distinct(coalesce(expected, [])) AS e, list_distinct(coalesce(predicted, [])) AS p, predicted[1] AS f FROM predictions), b AS (SELECT len(list_intersect(e, p))::DOUBLE AS tp, len(p)::DOUBLE AS np, len(e)::DOUBLE AS ne, CASE WHEN f IS NULL THEN (len(e) = 0 AND len(p) = 0) ELSE list_contains(e, f) END::INT::DOUBLE AS hit FROM a), m AS (SELECT count(*) AS n, 2 * sum(tp) / (sum(np) + sum(ne)) AS micro, avg(CASE WHEN np = 0 AND tp = 0 THEN 1 ELSE tp / np END) AS pr, avg(CASE WHEN ne = 0 AND tp = 0 THEN 1 ELSE tp / ne END) AS rc, avg(hit) AS hits, avg((tp = ne AND tp = np)::INT::DOUBLE) AS ex FROM b) SELECT n, round(micro, 9) AS micro_f1, round(pr, 9) AS precision, round(rc, 9) AS recall, round(2 * pr * rc / (pr + rc), 9) AS f1, round(hits, 9) AS hits_at_1, round(ex, 9) AS exact FROM m")
 def evaluate_metrics(spark, d):
-    out = evaluate.answer_metrics(table(spark, d, "predictions"))
+    out = evaluate.answer_metrics(table(spark, d, "predictions"), distinct=True)
     return out.select("n", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
 
 
@@ -477,3 +550,108 @@ def class_last_fallback(spark, d):
     rest = T.run_tt(g, '@wd . entity ( ) filter contains ( located_in , " Q101003 " ^^wd:region ) && balance >= 5000 ;')
     members = profile.domain_members(g, 901).select(F.concat(F.lit("Q"), F.col("s").cast("string")).alias("x1"))
     return rest.join(members, "x1", "left_semi")
+
+
+# More of the algebra
+
+trade("enum_value_filter", "@wd . customer ( ) filter sex_or_gender == enum female && balance >= 0 ;", result("s", f"({_CUST})", "(s - 120000000) % 2 = 0 AND bal > 0"))
+trade("part_of_transitive", '@wd . entity ( ) filter contains ( part_of , " Q101001 " ^^wd:region ) ;', result("x", "(SELECT 120000000 + c_custkey AS x FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 UNION ALL SELECT 102000 + n_nationkey FROM nation WHERE n_regionkey = 1)"))
+kgs("negated_set", f"SELECT DISTINCT ?x WHERE {{ ?x !(wdt:P9001|wdt:P31) wd:Q{_HUB} }}", result("s", "edges", f"pid NOT IN ('P9001', 'P31') AND v = {_HUB}", "x"))
+kgs("negated_inverse", f"SELECT DISTINCT ?x WHERE {{ wd:Q{_HUB} !(^wdt:P31|^wdt:P9001) ?x }}", result("s", "edges", f"pid NOT IN ('P9001', 'P31') AND v = {_HUB}", "x"))
+kgs("entity_value", "SELECT DISTINCT ?v WHERE { wd:Q10003720 wdt:P9001 ?v }", result("v", "edges", "pid = 'P9001' AND s = 10003720 AND v IS NOT NULL", "v"))
+trades("group_two_keys", "SELECT ?n ?p (COUNT(DISTINCT ?o) AS ?count) WHERE { ?o wdt:P8005 ?c . ?c wdt:P17 ?n . ?o wdt:P8004 ?p } GROUP BY ?n ?p", f"SELECT {q('102000 + c_nationkey')} AS n, o_orderpriority AS p, count(DISTINCT o_orderkey) AS count FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey, o_orderpriority")
+trades("order_two_keys", "SELECT DISTINCT ?x ?p WHERE { ?x wdt:P8004 ?p . ?x wdt:P8002 ?t } ORDER BY ?p DESC(?t) LIMIT 20", f"SELECT {q('140000000 + o_orderkey')} AS x, o_orderpriority AS p FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 20")
+kgt("template_holders_of_hub_in_1999", "holders_in_year", result("s", "edges", f"pid = 'P9001' AND v = {_HUB} AND q_start < TIMESTAMP '2000-01-01' AND q_end >= TIMESTAMP '1999-01-01'", "x"), 1999, p="P9001", q0=_HUB)
+
+
+def trade_template(name: str, template: str, sql: str, year: int | None = None, **parameters) -> None:
+    QUERIES[name] = lambda spark, d: T.template(trade_graph(spark, d), template, year, **parameters)
+    ORACLE_SQL[name] = sql
+
+
+trade_template("template_orders_of_kept_parts", "current_holders_in", result("s", f"{_LINES} l JOIN part ON v = 130000000 + p_partkey", "ended IS NULL", "x"), p="P527", q="P31", q0=903)
+trade_template("template_orders_shipped_the_same_day", "same_start", result("b.s", f"{_LINES} a JOIN {_LINES} b ON a.ship = b.ship", f"a.s = {_ON + 3710}", "x"), p="P527", s="P585", q0=_ON + 3710)
+
+
+@call("union_simplified", _BELOW.format(c=_RIVER) + result("s", "edges", "pid = 'P31' AND v = 6000001", "x"))
+def union_simplified(spark, d):
+    """A union that says one thing twice, as its first part."""
+    from .plans import rewrites, sparql
+    from .plans.planner import run
+
+    g = statement_graph(spark, d)
+    text = "SELECT DISTINCT ?x WHERE { { ?x wdt:P31 wd:Q6000001 } UNION { ?x wdt:P31/wdt:P279* wd:Q6000001 } }"
+    return run(g, rewrites.simplified(g, sparql.parse(T.PREFIXES + text)))
+
+
+@call("class_with_another", result("s", _PARTY))
+def class_with_another(spark, d):
+    """A class whose members are those of another one too."""
+    g = trade_graph(spark, d)
+    g.also = {901: (902,)}
+    return T.run_tt(g, "@wd . customer ( ) ;")
+
+
+@call("allowed_values", f"SELECT DISTINCT 'P176' AS qualifier, {q('supp')} AS value FROM {_LINES} WHERE s = {_ON + 3710} AND v = {_PART + 228} UNION SELECT DISTINCT 'P1114', CAST(qty AS VARCHAR) FROM {_LINES} WHERE s = {_ON + 3710} AND v = {_PART + 228}")
+def allowed_values(spark, d):
+    return profile.statement_qualifiers(trade_graph(spark, d), _ON + 3710, "P527", _PART + 228, ("P176", "P1114"))
+
+
+@call("value_range", f"SELECT min(qty) AS least, max(price) AS most FROM {_LINES} WHERE s = {_ON + 3710} AND v = {_PART + 228}")
+def value_range(spark, d):
+    return profile.value_range(trade_graph(spark, d), _ON + 3710, "P527", _PART + 228, "P1114", "P2284")
+
+
+@call("domain_entities", "SELECT id, id IN (SELECT s FROM edges WHERE pid = 'P279' AND v IS NOT NULL) AS is_domain FROM (SELECT DISTINCT v AS id FROM edges WHERE v IS NOT NULL)")
+def domain_entities(spark, d):
+    return profile.domain_entities(statement_graph(spark, d), table(spark, d, "edges").select(F.col("v").alias("id")).filter("id IS NOT NULL"))
+
+
+_ALL = {n: c for n, c in (("river", 6000001), ("city", 6000002), ("film", 6000003), ("museum", 6000004), ("bridge", 6000005), ("human", 6000006), ("band", 6000007), ("lake", 6000008), ("company", 6000009), ("book", 6000010), ("mountain", 6000011))}
+_BELONGS = f"b AS (SELECT DISTINCT s, class FROM (SELECT e.s, c.v AS class FROM edges e JOIN c ON e.v = c.s WHERE e.pid = 'P31' UNION ALL SELECT s, v FROM edges WHERE pid = 'P31') WHERE class IN ({_TOPS}))"
+
+
+@call("infer_manifest", _PAIRS + f", {_BELONGS}, n(domain, class) AS (VALUES " + ", ".join(f"('{n}', {c})" for n, c in _ALL.items()) + "), p(pid, name) AS (VALUES ('P31', 'instance_of'), ('P279', 'subclass_of'), ('P9001', 'location'), " + ", ".join(f"('P{9101 + i}', '{n}')" for i, n in enumerate(PROPERTY_NAMES)) + ") SELECT domain, e.pid, name, 'entity' AS kind, count(*) AS n_statements, count(DISTINCT v) AS n_values, concat_ws(' ', CASE WHEN count(q_start) >= 5 THEN 'P580' END, CASE WHEN count(q_end) >= 5 THEN 'P582' END) AS qualifiers FROM edges e JOIN b ON e.s = b.s JOIN n ON n.class = b.class JOIN p ON p.pid = e.pid WHERE v IS NOT NULL GROUP BY domain, e.pid, name HAVING count(*) >= 5")
+def infer_manifest(spark, d):
+    """Properties, names, kinds and qualifiers of all eleven classes."""
+    return profile.inferred_manifest(statement_graph(spark, d), _ALL, 5, 5)
+
+
+@call("alt_labels", "SELECT e.id, coalesce(array_to_string(a, '|'), '') AS aliases FROM entities e LEFT JOIN (SELECT id, list_sort(list(DISTINCT alias)) AS a FROM entity_aliases WHERE alias IS NOT NULL AND lang = 'de' GROUP BY id) USING (id)")
+def alt_labels(spark, d):
+    return linking.alt_labels_of(labels(spark, d), table(spark, d, "entity_aliases"), "de").select("id", F.array_join("aliases", "|").alias("aliases"))
+
+
+_NAMES = "(SELECT lower(trim(label)) AS k, id, 0 AS way FROM entities UNION ALL SELECT lower(trim(alias)), id, 1 FROM entity_aliases)"
+_SEARCHED = f"(SELECT text, id, row_number() OVER (PARTITION BY text ORDER BY way, CAST(substr(id, 2) AS BIGINT)) AS rank FROM (SELECT t.text, n.id, min(n.way) AS way FROM (SELECT DISTINCT label AS text FROM mentions) t JOIN {_NAMES} n ON lower(trim(t.text)) = n.k WHERE n.k <> '' GROUP BY t.text, n.id))"
+
+
+@call("entity_search_ranked", f"SELECT text, id, rank FROM {_SEARCHED} WHERE rank <= 5")
+def entity_search_ranked(spark, d):
+    return linking.searched(table(spark, d, "mentions").select(F.col("label").alias("text")), labels(spark, d), table(spark, d, "entity_aliases"))
+
+
+@call("url_ids", "WITH u AS (SELECT 'https://pages.example/wiki/' || replace(label, ' ', '_') AS url, label, id FROM entities), s AS (SELECT url, min(id) AS id FROM u WHERE CAST(substr(id, 2) AS BIGINT) % 2 = 0 GROUP BY url), f AS (SELECT k, arg_min(id, (way, CAST(substr(id, 2) AS BIGINT))) AS id FROM " + _NAMES + " WHERE k <> '' GROUP BY k) SELECT DISTINCT u.url, coalesce(s.id, f.id) AS id FROM u LEFT JOIN s ON u.url = s.url LEFT JOIN f ON f.k = lower(trim(u.label))")
+def url_ids(spark, d):
+    """Entities of page addresses: half of them by a table of addresses, the others by the page's title."""
+    e = labels(spark, d)
+    urls = e.select(F.concat(F.lit("https://pages.example/wiki/"), F.replace("label", F.lit(" "), F.lit("_"))).alias("url"), "id")
+    known = urls.filter("CAST(substr(id, 2) AS bigint) % 2 = 0")
+    return linking.ids_of_urls(urls, known, e, table(spark, d, "entity_aliases"))
+
+
+@call("canonical_names", "WITH a AS (SELECT DISTINCT id, alias FROM entity_aliases WHERE alias IS NOT NULL), b AS (SELECT id, regexp_replace(alias, '^is ', '') AS x, row_number() OVER (PARTITION BY id ORDER BY alias) AS i FROM a), c AS (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY length(x), i) AS r FROM b WHERE regexp_matches(x, '^[a-zA-Z -]+$')), n AS (SELECT id, label AS x, 0 AS r FROM entities WHERE label IS NOT NULL UNION ALL SELECT c.id, x, r FROM c JOIN entities e ON e.id = c.id WHERE r <= 5), m AS (SELECT id, x, min(r) AS r FROM n GROUP BY id, x) SELECT id, string_agg(x, '|' ORDER BY r) AS canonical FROM m GROUP BY id")
+def canonical_names(spark, d):
+    return linking.canonical_names(labels(spark, d), table(spark, d, "entity_aliases")).select("id", F.array_join("canonical", "|").alias("canonical"))
+
+
+@call("answer_metrics", "WITH a AS (SELECT coalesce(expected, []) AS e, coalesce(predicted, []) AS p, predicted[1] AS f FROM predictions), b AS (SELECT len(list_filter(p, lambda x: list_contains(e, x)))::DOUBLE AS tp, len(p)::DOUBLE AS np, (len(list_filter(p, lambda x: list_contains(e, x))) + len(list_filter(e, lambda x: NOT list_contains(p, x))))::DOUBLE AS ne, CASE WHEN f IS NULL THEN (len(e) = 0 AND len(p) = 0) ELSE list_contains(e, f) END::INT::DOUBLE AS hit, (len(list_filter(p, lambda x: NOT list_contains(e, x))) = 0 AND len(list_filter(e, lambda x: NOT list_contains(p, x))) = 0)::INT::DOUBLE AS same FROM a), m AS (SELECT count(*) AS n, 2 * sum(tp) / (sum(np) + sum(ne)) AS micro, avg(CASE WHEN np = 0 AND tp = 0 THEN 1 ELSE tp / np END) AS pr, avg(CASE WHEN ne = 0 AND tp = 0 THEN 1 ELSE tp / ne END) AS rc, avg(hit) AS hits, avg(same) AS ex FROM b) SELECT n, round(micro, 9) AS micro_f1, round(pr, 9) AS precision, round(rc, 9) AS recall, round(2 * pr * rc / (pr + rc), 9) AS f1, round(hits, 9) AS hits_at_1, round(ex, 9) AS exact FROM m")
+def answer_metrics(spark, d):
+    """Answers counted as often as they are listed."""
+    out = evaluate.answer_metrics(table(spark, d, "predictions"))
+    return out.select("n", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
+
+
+@call("intersect_mentions", "SELECT id FROM mentions WHERE id IN (SELECT id FROM entities)")
+def intersect_mentions(spark, d):
+    return evaluate.intersection([table(spark, d, t).select("id").filter("id IS NOT NULL") for t in ("mentions", "entities")])
