@@ -3,8 +3,9 @@
 A value that holds an entity's id in any form is that entity. Any other value is repaired token by
 token: each distinct token is joined to the vocabulary of the reference labels and aliases by edit
 distance (one slip: a letter missing, too many, changed, or two exchanged), by way of the strings that
-are left when one letter is deleted. Complete entries that share a heavy token with the repaired value
-are ranked by soft TF-IDF. A value with a word of its own that no entry has is something else.
+are left when one letter is deleted. Complete entries that share a word with the repaired value are
+ranked by soft TF-IDF. A value with a word of its own that no entry has is something else, and one of
+abbreviations only says too little.
 
 Everything is computed on distinct values and tokens; a hot value meets its result once, in a join that
 adaptive execution splits.
@@ -15,7 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from math import sqrt
+from math import exp, sqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ REPAIRABLE, SHORTEST = 4, 4
 FREE = frozenset("the a an of de la le el les der die das du da do s etc and".split())
 #: Letters of other scripts that look like Latin ones, and those.
 LOOKS = str.maketrans("аеосрхуіјѕԁһɑɡορνιαυκАВЕКМНОРСТХІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧօ", "aeocpxyijsdhagopviaukABEKMHOPCTXIJSABEZHIKMNOPTYXo")
-#: Abbreviations that don't begin like their word.
-ABBREVIATIONS = {"4tet": "quartet"}
+#: How words that mean a number begin, by the number.
+NUMBER_WORDS = {"1": "one uni mono first", "2": "two bi du second", "3": "three tri third", "4": "four quar quad tetra", "5": "five fif quin pent", "6": "six sext hex", "7": "seven sept hept", "8": "eight oct okt", "9": "nin non", "10": "ten dec"}
 _TOKEN = re.compile(r"[^\W_]+")
 _JOINED = re.compile(r"(?<=[^\W\d_A-Z]{2})(?=[A-Z][a-zà-ÿ])")
 QUERY = "value string, domain string, tokens array<string>"
@@ -47,7 +48,7 @@ def fold(text: str) -> str:
 
 def tokens_of(text: str) -> list[str]:
     """The words of a value without case, accents and look-alike letters; words run together are split at capitals."""
-    return [ABBREVIATIONS.get(t, t) for t in _TOKEN.findall(_JOINED.sub(" ", fold(text)).casefold())]
+    return _TOKEN.findall(_JOINED.sub(" ", fold(text)).casefold())
 
 
 def typed_id(value: Column) -> Column:
@@ -108,22 +109,36 @@ def repairs(strings: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return known.union(near)
 
 
+_NUMBERED = re.compile(r"(\d+)([^\W\d_]+)").fullmatch
+
+
+def beginnings(short: str) -> list[str]:
+    """How words can begin that a token is an abbreviation of."""
+    m = _NUMBERED(short)
+    return NUMBER_WORDS.get(m[1], "").split() if m else [short[0]]
+
+
 def short_for(short: str, word: str) -> bool:
-    """Whether a token can be an abbreviation of a word: an initial, or a few of its letters in their order."""
-    if len(short) > SHORTEST or len(short) >= len(word) or short[0] != word[0]:
+    """Whether a token can be an abbreviation of a word: an initial, a few of its letters in their order, or a number with the word's end ("4tet")."""
+    if len(short) > SHORTEST or len(short) >= len(word):
+        return False
+    if m := _NUMBERED(short):
+        return word.endswith(m[2]) and any(word.startswith(x) for x in beginnings(short))
+    if short[0] != word[0]:
         return False
     rest = iter(word)
     return all(c in rest for c in short)
 
 
 def rank(tokens: list[str], repaired: dict[str, dict[str, float]], entry: dict[str, float], domain: str) -> float:
-    """Soft TF-IDF similarity of a value's tokens to an entry's; 0 if the value has a word that isn't the entry's.
+    """Soft TF-IDF similarity of a value's tokens to an entry's; 0 if the value has a word that isn't the entry's, or abbreviations only.
 
     The words of FREE and the name of the entry's domain are no words of its own. entry: word to weight.
     """
-    left, dot, q2, said = dict(entry), 0.0, 0.0, False
+    left, dot, q2, said, written = dict(entry), 0.0, 0.0, False, False
     for t in tokens:
         best = max(((sim, w) for w, sim in repaired.get(t, {}).items() if w in left), default=None)
+        written |= best is not None and best[1] not in FREE
         if best is None:
             best = max(((SHORT, w) for w in left if short_for(t, w)), default=None)
         if best is not None:
@@ -135,7 +150,7 @@ def rank(tokens: list[str], repaired: dict[str, dict[str, float]], entry: dict[s
         elif t not in FREE and not (repaired.get(t) and set(repaired[t]) & FREE):
             return 0.0
     e2 = sum((w * 0.01) ** 2 if t in FREE else w * w for t, w in entry.items())
-    return dot / sqrt(q2 * e2) + 0.01 * said if q2 and e2 else 0.0
+    return dot / sqrt(q2 * e2) + 0.01 * said if written and q2 and e2 else 0.0
 
 
 def best_entries(queries: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -163,34 +178,41 @@ def best_entries(queries: DataFrame, entities: DataFrame, aliases: DataFrame) ->
     fixed = repairs(tokens, words).join(words, "word").select("word", "token", "sim", "w").union(named).checkpoint()
     mended = tokens.join(fixed, "token", "left").groupBy("value", "domain", "tokens").agg(F.collect_set(F.struct("token", "word", "sim", "w")).alias("fixes"))
 
-    def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each value with those of its words without which no entry can be accepted (a prefix filter on weights).
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each value with the words to look its entries up by.
 
-        A value with a word that is neither known, free nor short enough for an abbreviation has none: no entry is accepted for it.
+        Every token that is neither free nor a domain's name must be a word of an accepted entry (rank()), so
+        one is enough: the rarest of those too long for an abbreviation, with all its repairs. A value without
+        such a token is looked up by all words that its tokens are or are repaired to, one of which an accepted
+        entry has. A value with a long token that is none of these has no entry.
         """
         for batch in batches:
             at, out = [], []
             for n, (ts, fixes) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                known = {f["token"] for f in fixes if f["word"] is not None}
-                if any(t not in known and t not in FREE and len(t) > SHORTEST for t in ts):
-                    continue
-                weight: dict[str, float] = {}
+                words: dict[str, dict[str, float]] = {}
+                domains = set()
                 for f in fixes:
                     if f["word"]:
-                        weight[f["word"]] = max(weight.get(f["word"], 0.0), f["w"])
-                least, light = ACCEPTED**2 * sum(w * w for t, w in weight.items() if t not in FREE), 0.0
-                for t, w in sorted(weight.items(), key=lambda x: (x[1], x[0])):
-                    light += 0 if t in FREE else w * w
-                    if light >= least and t not in FREE:
-                        at.append(n)
-                        out.append(t)
+                        words.setdefault(f["token"], {})[f["word"]] = f["w"]
+                    elif f["word"] == "":
+                        domains.add(f["token"])
+                long = [t for t in ts if len(t) > SHORTEST and t not in FREE and t not in domains]
+                if any(t not in words for t in long):
+                    continue
+                lookups = [w for t, w in words.items() if t in long and not FREE.intersection(w)]
+                # The number of entries with a word, but for a factor.
+                best = min(lookups, key=lambda w: (sum(1 / (exp(x) - 1) for x in w.values()), sorted(w)), default=None)
+                found = sorted(best) if best else sorted({w for ws in words.values() for w in ws} - FREE)
+                at += [n] * len(found)
+                out += found
             yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns), pa.array(out, pa.string())], [*batch.schema.names, "word"])
 
     fixes = "fixes array<struct<token:string,word:string,sim:double,w:double>>"
-    probes = mended.mapInArrow(heavy, f"{QUERY}, {fixes}, word string")
+    probes = mended.mapInArrow(chosen, f"{QUERY}, {fixes}, word string")
     weighted = entries.select("id", "of", "words", F.explode("words").alias("word")).join(words, "word")
     weighted = weighted.groupBy("id", "of", "words").agg(F.collect_list(F.struct("word", "w")).alias("weights"))
     by_word = weighted.select("id", "of", "weights", F.explode("words").alias("word"))
+    # A value that shares several words with an entry is ranked against it several times; the best rank counts.
     met = probes.join(by_word, "word").filter(F.col("domain").isNull() | (F.col("domain") == F.col("of"))).drop("word")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
