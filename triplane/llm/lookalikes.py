@@ -68,6 +68,14 @@ def script(c: str) -> str:
     return unicodedata.name(c, "?").split(" ", 1)[0]
 
 
+_LETTERS_ONLY = {i: chr(i) if chr(i).isalpha() else " " for i in range(128)}
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters, with their marks, of a compatible() text."""
+    return text.translate(_LETTERS_ONLY).split() if text.isascii() else _WORD.findall(text)
+
+
 def compatible(text: str) -> str:
     """The text without ignorable characters, compatible where that doesn't show, accents decomposed."""
     return text if text.isascii() else unicodedata.normalize("NFD", text.translate(_COMPATIBLE))
@@ -75,14 +83,19 @@ def compatible(text: str) -> str:
 
 def pair_counts(words: Counter) -> Counter:
     """(script, letter, next letter) counts of the words of one script; ^ and $ are the ends of a word."""
-    out: Counter = Counter()
+    pairs: dict[str, Counter] = {s: Counter() for s in SCRIPTS}
     for word, n in words.items():
-        base = [c for c in compatible(word) if not unicodedata.combining(c)]
-        scripts = {script(c) for c in base}
-        if len(scripts) == 1 and (s := scripts.pop()) in SCRIPTS:
-            for a, b in zip(["^", *base], [*base, "$"]):
-                out[s, a, b] += n
-    return out
+        if word.isascii():
+            s, base = "LATIN", f"^{word}$"
+        else:
+            letters = [c for c in compatible(word) if not unicodedata.combining(c)]
+            scripts = set(map(script, letters))
+            s, base = scripts.pop() if len(scripts) == 1 else "", f"^{''.join(letters)}$"
+        if s in pairs:
+            count = pairs[s]
+            for i in range(len(base) - 1):
+                count[base[i : i + 2]] += n
+    return Counter({(s, x[0], x[1]): n for s, count in pairs.items() for x, n in count.items()})
 
 
 class Reader:
@@ -97,8 +110,24 @@ class Reader:
         self.pairs, self.first, self.total = pairs, first, sum(first.values())
         self.share = {s: log((words[s] + 0.5) / (words.total() + 2)) for s in SCRIPTS}
         self.readings = lru_cache(REMEMBERED)(self._readings)
-
-    def score(self, s: str, a: str, b: str) -> float:
+        self.score = lru_cache(None)(self._score)
+        self.candidates = lru_cache(100_000)(self._candidates)
+        self.only = lru_cache(100_000)(self._only)
+        #: ASCII words of which the best reading is the word itself.
+        self.plain: set[str] = set()
+
+    def _candidates(self, c: str) -> tuple[list[str], ...]:
+        """The look-alikes of a letter in each of SCRIPTS, as far as words of that script have them; the first one if none has."""
+        alike = ([x for x in _CLASS.get(c, c) if script(x) == s] for s in SCRIPTS)
+        return tuple([x for x in xs if (s, x) in self.first] or xs[:1] for s, xs in zip(SCRIPTS, alike))
+
+    def _only(self, c: str) -> str:
+        """The script of a letter that no other script can write and that is its only candidate there; "" for any other letter."""
+        alike = self.candidates(c)
+        own = [s for s, xs in zip(SCRIPTS, alike) if xs]
+        return own[0] if len(own) == 1 and [c] in alike else ""
+
+    def _score(self, s: str, a: str, b: str) -> float:
         """Log probability of b after a in a script, smoothed by how frequent b is."""
         alone = (self.first.get((s, b), 0) + 0.01) / (self.total + 1)
         return log((self.pairs.get((s, a, b), 0) + 5 * alone) / (self.first.get((s, a), 0) + 5))
@@ -126,28 +155,62 @@ class Reader:
             state = came[state]
         return value, path[:0:-1]
 
+    def _within(self, s: str, columns: list[list[str]]) -> tuple[float, list[str]]:
+        """_best() for columns of one script."""
+        if all(len(c) == 1 for c in columns):
+            path = [c[0] for c in columns]
+            value, last = 0.0, "^"
+            for c in path:
+                value += self.score(s, last, c)
+                last = c
+            return value + self.score(s, last, "$"), path
+        now: list[tuple] = [(0.0, "^", None)]
+        for column in [*columns, "$"]:
+            new = []
+            for c in column:
+                if len(now) == 1:
+                    last = now[0]
+                    new.append((last[0] + self.score(s, last[1], c), c, last))
+                else:
+                    new.append(max(((x[0] + self.score(s, x[1], c), c, x) for x in now), key=lambda x: x[0]))
+            now = new
+        node, path = now[0][2], []
+        while node[2]:
+            path.append(node[1])
+            node = node[2]
+        return now[0][0], path[::-1]
+
     def _readings(self, word: str) -> list[tuple[str, float, str]]:
-        """(script, score, form): the best reading of a word in each script that can write it; with changes of script, and without a script, if none can."""
-        at = [i for i, c in enumerate(word) if not unicodedata.combining(c)]
-        columns, found = [list(_CLASS.get(word[i], word[i])) for i in at], []
-        for s in SCRIPTS:
-            own = [[c for c in column if script(c) == s] for column in columns]
-            if all(own):
-                value, path = self._best(own)
-                found.append((s, value + self.share[s], path))
+        """(script, score, form): the best reading of a word in each script that can write it, the best script first; with changes of script, and without a script, if none can."""
+        at, found = range(len(word)) if word.isascii() else [i for i, c in enumerate(word) if not unicodedata.combining(c)], []
+        alike = [self.candidates(word[i]) for i in at]
+        # One letter of one script only decides the script, and if every letter has one candidate there, the search has one path.
+        bound = next(filter(None, map(self.only, word)), "")
+        if bound and all([len(o[SCRIPTS.index(bound)]) == 1 for o in alike]):
+            n, form = SCRIPTS.index(bound), list(word)
+            for i, o in zip(at, alike):
+                form[i] = o[n][0]
+            return [(bound, 0.0, "".join(form))]
+        for s, own in zip(SCRIPTS, zip(*alike)):
+            if not all(own):
+                continue
+            value, path = self._within(s, own)
+            found.append((s, value + self.share[s], path))
         if not found:
-            found.append(("", *self._best(columns)))
+            found.append(("", *self._best([list(_CLASS.get(word[i], word[i])) for i in at])))
         out = []
         for s, value, path in found:
             form = list(word)
             for i, c in zip(at, path):
                 form[i] = c
             out.append((s, value, "".join(form)))
-        return out
+        return sorted(out, key=lambda r: -r[1])
 
     @staticmethod
     def chosen(readings: list[list[tuple[str, float, str]]]) -> list[str]:
         """One reading for each word of a text, by the scores and the changes of script between words."""
+        if len({r[0][0] for r in readings} - {""}) < 2:  # the best of all words, without a change
+            return [r[0][2] for r in readings]
         now, back = {"": 0.0}, []
         for options in readings:
             new: dict[str, float] = {}
@@ -168,9 +231,14 @@ class Reader:
 
     def text(self, text: str) -> str:
         plain = compatible(text)
-        words = _WORD.findall(plain)
+        words = words_of(plain)
+        if self.plain.issuperset(words):
+            return plain
         readings = list(map(self.readings, words))
-        forms = [r[0][2] for r in readings] if all(len(r) == 1 for r in readings) else self.chosen(readings)
+        if len(self.plain) > REMEMBERED:
+            self.plain.clear()
+        self.plain.update(w for w, r in zip(words, readings) if r[0][0] == "LATIN" and r[0][2] == w and w.isascii())
+        forms = self.chosen(readings)
         if forms != words:
             left = iter(forms)
             plain = _WORD.sub(lambda m: next(left), plain)
@@ -187,7 +255,7 @@ def letter_pairs(texts: DataFrame, column: str) -> dict[tuple[str, str, str], in
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
-                    words.update(_WORD.findall(t))
+                    words.update(words_of(t))
             if len(words) > REMEMBERED:
                 counts += pair_counts(words)
                 words.clear()
