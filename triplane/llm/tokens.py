@@ -17,6 +17,8 @@ import os
 import struct
 from array import array
 from collections.abc import Iterator
+from hashlib import blake2b
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -50,8 +52,11 @@ def byte_alphabet() -> list[str]:
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """The vocabulary file: a base64 byte string and its rank on each line."""
-    with open(path, "rb") as lines:
-        return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in lines if line.strip())}
+    return ranks_of(Path(path).read_bytes())
+
+
+def ranks_of(vocabulary: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in vocabulary.splitlines() if line.strip())}
 
 
 def _varint(n: int) -> bytes:
@@ -99,13 +104,13 @@ class Encoder:
     Any other text is split by the pattern as a whole. Ids are kept as packed int32.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: bytes):
         import re
 
         import regex
         import sentencepiece
 
-        ranks = read_ranks(path)
+        ranks = ranks_of(vocabulary)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
         classes = {"{L}": r"\p{L}", "{N}": r"\p{N}", "{W}": WHITE}, {"{L}": "A-Za-z", "{N}": "0-9", "{W}": r"\t-\r "}
         any_text, ascii_text = (re.sub(r"\{[LNW]\}", lambda m: c[m[0]], PATTERN) for c in classes)
@@ -169,27 +174,34 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def worker_encoder(name: str, vocabulary: bytes) -> Encoder:
+    """The encoder of a vocabulary, made once in each worker."""
+    if name not in _ENCODERS:
+        _ENCODERS[name] = Encoder(vocabulary)
+    return _ENCODERS[name]
+
+
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return worker_encoder(path, Path(path).read_bytes())
 
 
 def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(key, ids ARRAY<INT>) for every row of `documents`, in one pass without a shuffle.
 
+    The vocabulary file, about a megabyte, is read on the driver and broadcast: executors need no copy of it.
     Null and empty texts have the empty list, repeated rows give repeated rows, an empty table an
     empty result; other columns are not read. Null keys stay null.
     """
     import pyarrow as pa
 
-    path = vocabulary or f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    raw = Path(vocabulary or f"{TOKENIZERS}/byte_bpe_50k.tiktoken").read_bytes()
+    shared, name = documents.sparkSession.sparkContext.broadcast(raw), blake2b(raw, digest_size=16).hexdigest()
     schema = T.StructType([T.StructField(key, documents.schema[key].dataType), T.StructField("ids", ID_SCHEMA)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        encode = encoder(path).encode_packed
+        encode = worker_encoder(name, shared.value).encode_packed
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
