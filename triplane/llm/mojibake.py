@@ -7,8 +7,8 @@ corpus (most invented names) are decoded back by the same chains: they count if
 characters in them comes out as well-formed UTF-8 of ordinary characters or as plain Japanese, and from
 single-byte chains if several words of the text come out well-formed by one chain.
 
-A garbled sequence that stands alone in quotation marks is quoted in order to talk about it and counts
-for nothing.
+A garbled sequence in quotation marks that stands for one character, or of which the text has the sound form
+too, is quoted in order to talk about it and counts for nothing.
 """
 
 from __future__ import annotations
@@ -36,6 +36,10 @@ TWICE = [(a, b) for a in ("cp1252", "cp437", "mac_roman") for b in ("cp1252", "c
 RATIO = 4
 #: Forms of one chain in one text that are garbled whatever their frequency.
 SEVERAL = 3
+#: The ways a garbled word is told, the surest first.
+HOW = ("joined", "decoded", "together")
+#: Most characters of a quoted sequence that stands for one character.
+QUOTED = 4
 LOST = "�"
 OPENING, CLOSING = "\"'`“”‘’«»„‹›", "\"'`“”‘’«»‹›"
 _ASCII_EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
@@ -78,7 +82,10 @@ def garbled_forms(word: str) -> dict[str, int]:
     """All forms of a clean word under the chains, without the word itself; each with the chains that give it, a bit for each."""
     utf8, forms, chain = word.encode("utf-8", "replace"), defaultdict(int), 0
     for wrong in [*WRONG, "latin-1"]:
-        forms[misread(utf8, wrong)] |= 1 << chain
+        form = misread(utf8, wrong)
+        # Garbled text that was put in lower or upper case afterwards can't be decoded back.
+        for cased in {form, form.lower(), form.upper()}:
+            forms[cased] |= 1 << chain
         chain += 1
     for first, second in TWICE:
         forms[misread(misread(utf8, first).encode("utf-8"), second)] |= 1 << chain
@@ -243,10 +250,21 @@ def decoded_words(counts: DataFrame) -> DataFrame:
     return counts.select("word", "df").mapInArrow(run, "word string, df bigint, original string, original_df bigint, chains bigint, shaped boolean, better boolean")
 
 
-def quoted(token: str) -> bool:
-    """Whether a token is one sequence in quotation marks, apart from what follows them."""
+def in_quotes(token: str) -> str | None:
+    """What a token has in quotation marks, if it is in them, apart from what follows them."""
     t = token.rstrip(_AFTER).lstrip("([")
-    return len(t) > 2 and t[0] in OPENING and t[-1] in CLOSING
+    return t[1:-1] if len(t) > 2 and t[0] in OPENING and t[-1] in CLOSING else None
+
+
+def quoted(token: str, text: str) -> bool:
+    """Whether a token of a text is quoted in order to talk about it: at most QUOTED foreign characters, or a word whose sound form is in the text too."""
+    inside = in_quotes(token)
+    if inside is None:
+        return False
+    if len(inside) <= QUOTED and not any(c.isascii() and c.isalnum() for c in inside):
+        return True
+    original = repaired(inside)
+    return original is not None and original in text
 
 
 def foreign_words(text: str) -> set[str]:
@@ -256,7 +274,14 @@ def foreign_words(text: str) -> set[str]:
     for c in _SPACE:
         text = text.replace(c, " ")
     tokens = {t for t in text.split(" ") if not t.isascii()}
-    return {t.strip(_ASCII_EDGES) for t in tokens if not quoted(t)}
+    out = set()
+    for t in tokens:
+        inside = in_quotes(t)
+        if inside is None:
+            out.add(t.strip(_ASCII_EDGES))
+        elif not inside.isascii() and not quoted(t, text):
+            out.add(inside.strip(_ASCII_EDGES))
+    return out
 
 
 def text_words(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -316,8 +341,10 @@ def repaired_words(counts: DataFrame) -> DataFrame:
 
 
 def garbled_words(texts: DataFrame) -> DataFrame:
-    """(t1, t2, word, original): the garbled words of each distinct text, with their originals where these are known.
+    """(t1, t2, word, original, how): the garbled words of each distinct text, with their originals where these are known.
 
+    how: "joined" for forms of clean words of the corpus, "decoded" for words that one chain decodes back,
+    "together" for words of which several in a text come out by one chain.
     Of several originals the most frequent counts, on a tie the first in order. df counts distinct texts,
     so copies of a garbled one don't make its words frequent. Where near copies do, SEVERAL forms of one
     chain in one text are garbled whatever their df, if one of them at least can't be a clean word
@@ -370,12 +397,12 @@ def garbled_words(texts: DataFrame) -> DataFrame:
     joined = joined.join(wrong.select(F.col("word").alias("original")), "original", "left_anti")
     best = joined.groupBy("word").agg(F.min(F.struct((-F.col("original_df")).alias("rank"), "original")).alias("best")).select("word", "best.original", F.lit(1).alias("rank"))
     either = best.unionByName(repaired_words(counts).withColumn("rank", F.lit(2)))
-    known = either.groupBy("word").agg(F.min(F.when(F.col("original").isNotNull(), F.struct("rank", "original"))).alias("best")).select("word", F.col("best.original").alias("original"))
-    told = words.join(known, "word").select("t1", "t2", "word", "original", F.lit(1).alias("rank"))
+    known = either.groupBy("word").agg(F.min(F.when(F.col("original").isNotNull(), F.struct("rank", "original"))).alias("best"), F.min("rank").alias("how")).select("word", F.col("best.original").alias("original"), "how")
+    told = words.join(known, "word").select("t1", "t2", "word", "original", F.lit(1).alias("rank"), "how")
     best = F.min(F.when(F.col("original").isNotNull(), F.struct("rank", "original")))
-    both = told.unionByName(together).groupBy("t1", "t2", "word").agg(best.alias("best")).select("t1", "t2", "word", F.col("best.original").alias("original"))
+    both = told.unionByName(together.withColumn("how", F.lit(3))).groupBy("t1", "t2", "word").agg(best.alias("best"), F.min("how").alias("how")).select("t1", "t2", "word", F.col("best.original").alias("original"), "how")
     both = both.join(wrong.select(F.col("word").alias("original"), "right"), "original", "left")
-    return both.select("t1", "t2", "word", F.coalesce("right", "original").alias("original"))
+    return both.select("t1", "t2", "word", F.coalesce("right", "original").alias("original"), F.element_at(F.array(*map(F.lit, HOW)), F.col("how")).alias("how"))
 
 
 def garbled(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -403,9 +430,10 @@ def restored(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
             for t, pairs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 known = {p["word"]: p["original"] for p in pairs if p["original"] is not None}
 
-                def put(m: re.Match, known=known) -> str:
-                    core = m[0].strip(_ASCII_EDGES)
-                    return m[0].replace(core, known[core]) if core in known and not quoted(m[0]) else m[0]
+                def put(m: re.Match, known=known, t=t) -> str:
+                    inside = in_quotes(m[0])
+                    core = (m[0] if inside is None else inside).strip(_ASCII_EDGES)
+                    return m[0].replace(core, known[core]) if core in known and not quoted(m[0], t) else m[0]
 
                 texts.append(re.sub(r"[^ \t\n\r\x0b\x0c]+", put, t))
                 n_restored.append(len(known))
@@ -419,9 +447,17 @@ def p8_found(spark: SparkSession, directory: str) -> DataFrame:
     return garbled(table(spark, directory, "documents"))
 
 
+def p8_how(spark: SparkSession, directory: str) -> DataFrame:
+    """(how, n_texts, n_words): how the garbled words were told, of each distinct text the surest way: joined, then decoded, then together."""
+    documents = table(spark, directory, "documents")
+    use_checkpoints(spark)
+    of_text = garbled_words(text_words(documents).checkpoint()).groupBy("t1", "t2").agg(F.min(F.array_position(F.array(*map(F.lit, HOW)), F.col("how"))).alias("at"), F.count("*").alias("n"))
+    return of_text.groupBy("at").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_words")).select(F.element_at(F.array(*map(F.lit, HOW)), F.col("at").cast("int")).alias("how"), "n_texts", "n_words")
+
+
 def p8_restored(spark: SparkSession, directory: str) -> DataFrame:
     return restored(table(spark, directory, "documents"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p8_found": p8_found, "p8_restored": p8_restored, "p8_how": p8_how}
 ORACLE_SQL: dict[str, str] = {}
