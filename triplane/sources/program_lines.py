@@ -152,4 +152,26 @@ def p3_valid(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_valid": p3_valid}
-ORACLE_SQL: dict[str, str] = {}
+
+def _sql() -> dict[str, str]:
+    """The rules once more, with regular expressions on whole lines and twenty rounds of taking away empty pairs of brackets."""
+    field = r'"(?:[^"]|"")*"|(?:[^"\t][^\t]*)?'
+    blank = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
+    left = r"""regexp_replace(regexp_replace(t, '"[^"]*"', '', 'g'), '[^()\[\]{}]+', '', 'g')"""
+    for _ in range(20):
+        left = rf"regexp_replace({left}, '\(\)|\[\]|\{{\}}', '', 'g')"
+    checked = rf"""
+        l AS (SELECT line_id, chr(9) || regexp_replace(coalesce(raw_line, ''), '\r\z', '') AS line FROM raw_examples),
+        f AS (SELECT line_id, regexp_full_match(line, '(?s)(?:\t(?:{field}))+') AS closed, regexp_extract_all(line, '(?s)\t({field})', 1) AS raw FROM l),
+        v AS (SELECT line_id, closed, list_transform(raw, lambda x: CASE WHEN x[1] = '"' THEN replace(x[2:-2], '""', '"') ELSE x END) AS v FROM f),
+        c AS (SELECT line_id, closed, len(v) AS n, v[1] AS i, v[2] AS u, regexp_replace(regexp_replace(v[3], '^{blank}+', ''), '{blank}+\z', '') AS t FROM v),
+        r AS (SELECT line_id, i, u, CASE WHEN NOT closed THEN 'quoting' WHEN n <> 3 THEN 'columns' WHEN NOT regexp_full_match(i, '[a-z]+-[0-9]{{1,9}}') THEN 'id'
+            WHEN regexp_full_match(u, '{blank}*') OR regexp_matches(u, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{{fffd}}]') THEN 'utterance'
+            WHEN t = '' OR NOT ends_with(t, ';') OR (len(t) - len(replace(t, '"', ''))) % 2 = 1 OR {left} <> '' THEN 'thingtalk' END AS reason FROM c)"""
+    return {
+        "p3_found": f"WITH {checked} SELECT line_id, reason FROM r WHERE reason IS NOT NULL",
+        "p3_valid": f"WITH {checked} SELECT r.line_id, r.i AS id, r.u AS utterance, v.v[3] AS thingtalk FROM r JOIN v USING (line_id) WHERE reason IS NULL",
+    }
+
+
+ORACLE_SQL: dict[str, str] = _sql()
