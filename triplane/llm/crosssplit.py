@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table, use_checkpoints
-from .canonical import query_meaning, utterance_form, with_forms
+from .canonical import DEFAULT_LIMIT, NAMESPACES, query_meaning, utterance_form, with_forms
+from .formdupes import UTTERANCE_SQL
 
 #: Least Jaccard similarity of the utterances' shingles.
 SIMILARITY = 0.4
@@ -154,4 +155,17 @@ def p2_report(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_report": p2_report}
-ORACLE_SQL: dict[str, str] = {}
+
+#: The rules once more as a join of all records of one meaning, for queries of one group without literals, which
+#: all of the tables' are. Variables are told apart by nothing here, which makes no difference in the tables.
+_NAMES = "regexp_replace(lower(sparql), '<[^<>\\s]*/(entity|prop/direct|prop/statement|prop/qualifier|prop)/([^<>/\\s]+)>', ' \\1:\\2 ', 'g')"
+for _path, _prefix in NAMESPACES.items():
+    _NAMES = f"replace({_NAMES}, ' {_path}:', ' {_prefix}:')"
+_RECORDS = rf"""WITH t AS (SELECT row_id, split, source, {UTTERANCE_SQL} AS u, regexp_replace({_NAMES}, 'prefix\s+[^\s<]*\s*<[^>]*>', ' ', 'g') AS b FROM examples WHERE utterance <> '' AND sparql <> '' AND split IN ('train', 'dev', 'test')),
+k AS (SELECT row_id, split, u, ' ' || array_to_string(list_filter(list_transform(regexp_extract_all(b, '<[^<>\s]*[:/][^<>\s]*>|\?\w+|[\w-]*:[\w.%-]*[\w%-]|\d+\.\d+|\w+|[!<>]=|&&|\|\||\S'), lambda x: CASE WHEN x[1] = '?' THEN '?' ELSE x END), lambda x: x NOT IN ('where', 'distinct')), ' ') || ' ' AS b FROM t WHERE u <> ''),
+r AS (SELECT row_id, split, u, trim(split_part(b, '{{', 1)) || '|' || array_to_string(list_sort(list_filter(list_transform(string_split(replace(split_part(split_part(b, '{{', 2), '}}', 1), ' . ', ' .  '), ' . '), lambda x: trim(x)), lambda x: x <> '')), '|') || '|' || trim(regexp_replace(split_part(b, '}}', 2), ' limit {DEFAULT_LIMIT} ', ' ')) AS q, list_distinct(list_transform(range(1, greatest(len(u) - {WIDTH - 1}, 1) + 1), lambda i: substr(u, i, {WIDTH}))) AS g FROM k),
+pairs AS (SELECT e.row_id AS e, t.row_id AS t FROM r e JOIN r t ON e.q = t.q AND e.split <> 'train' AND t.split = 'train' WHERE len(list_intersect(e.g, t.g)) >= {SIMILARITY} * (len(e.g) + len(t.g) - len(list_intersect(e.g, t.g))) - 1e-9)"""
+ORACLE_SQL: dict[str, str] = {
+    "p2_found": f"{_RECORDS} SELECT least(e, t) AS id_a, greatest(e, t) AS id_b FROM pairs",
+    "p2_report": f"{_RECORDS} SELECT split, source, count(*) AS n_rows, count(*) FILTER (row_id IN (SELECT e FROM pairs)) AS n_in_train FROM examples WHERE split IN ('dev', 'test') GROUP BY split, source",
+}

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import key128, table
-from .canonical import query_form, utterance_form, with_forms
+from .canonical import GAP, MINUS, PLUS, POINT, query_form, utterance_form, with_forms
 
 
 def value_dictionary(rows: DataFrame, column: str, form: Callable[[str], str]) -> DataFrame:
@@ -86,11 +86,12 @@ def p1_collapsed(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed}
 
 #: The rules once more for queries of one group without literals, which all of the tables' are: tokens by one
-#: regular expression, statements between dots, and the content signs of utterances put in letters of no word.
-_SIGNS = r"regexp_replace(regexp_replace(lower(utterance), '(^|[^\w.,\x{80}-\x{10ffff}])[-−](\.?\d)', '\1ⱮM\2', 'g'), '(^|[^\w.,\x{80}-\x{10ffff}])\+(\.?\d)', '\1ⱮP\2', 'g')"
-_POINTS = rf"regexp_replace(regexp_replace({_SIGNS}, '(\d)\.(\d)', '\1ⱮD\2', 'g'), '(\d)\.(\d)', '\1ⱮD\2', 'g')"
-_GAPS = rf"regexp_replace(regexp_replace({_POINTS}, '(\d)[^\w<>=≤≥≠\x{{80}}-\x{{10ffff}}]*\s[^\w<>=≤≥≠\x{{80}}-\x{{10ffff}}]*(\d|ⱮM|ⱮP)', '\1ⱮG\2', 'g'), '(\d)[^\w<>=≤≥≠\x{{80}}-\x{{10ffff}}]*\s[^\w<>=≤≥≠\x{{80}}-\x{{10ffff}}]*(\d|ⱮM|ⱮP)', '\1ⱮG\2', 'g')"
-_GROUPS = rf"""WITH t AS (SELECT row_id, utterance, sparql, regexp_replace({_GAPS}, '[^\pL\pM\pN<>=≤≥≠]', '', 'g') AS u, lower(sparql) AS s FROM examples WHERE utterance <> '' AND sparql <> ''),
+#: regular expression, statements between dots, and private characters for the content signs of utterances.
+_SIGNS = rf"regexp_replace(regexp_replace(lower(utterance), '(^|[^\w.,\x{{80}}-\x{{dfff}}\x{{f900}}-\x{{10ffff}}])[-−](\.?\d)', '\1{MINUS}\2', 'g'), '(^|[^\w.,\x{{80}}-\x{{dfff}}\x{{f900}}-\x{{10ffff}}])\+(\.?\d)', '\1{PLUS}\2', 'g')"
+_POINTS = rf"regexp_replace(regexp_replace({_SIGNS}, '(\d)\.(\d)', '\1{POINT}\2', 'g'), '(\d)\.(\d)', '\1{POINT}\2', 'g')"
+_GAPS = rf"regexp_replace(regexp_replace({_POINTS}, '(\d)[^\w<>=≤≥≠\x{{80}}-\x{{dfff}}\x{{f900}}-\x{{10ffff}}]*\s[^\w<>=≤≥≠\x{{80}}-\x{{dfff}}\x{{f900}}-\x{{10ffff}}]*([\d{MINUS}{PLUS}])', '\1{GAP}\2', 'g'), '(\d)[^\w<>=≤≥≠\x{{80}}-\x{{dfff}}\x{{f900}}-\x{{10ffff}}]*\s[^\w<>=≤≥≠\x{{80}}-\x{{dfff}}\x{{f900}}-\x{{10ffff}}]*([\d{MINUS}{PLUS}])', '\1{GAP}\2', 'g')"
+UTTERANCE_SQL = f"regexp_replace({_GAPS}, '[^\\pL\\pM\\pN<>=≤≥≠{MINUS}{PLUS}{POINT}{GAP}]', '', 'g')"
+_GROUPS = rf"""WITH t AS (SELECT row_id, utterance, sparql, {UTTERANCE_SQL} AS u, lower(sparql) AS s FROM examples WHERE utterance <> '' AND sparql <> ''),
 p AS (SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(s, 'prefix\s+[^\s<]*\s*<[^>]*>'), lambda x: regexp_replace(x, '\s+', '', 'g')))) AS prefixes, regexp_replace(s, 'prefix\s+[^\s<]*\s*<[^>]*>', ' ', 'g') AS b FROM t),
 k AS (SELECT * REPLACE (' ' || array_to_string(regexp_extract_all(b, '<[^<>\s]*[:/][^<>\s]*>|\?\w+|[\w-]*:[\w.%-]*[\w%-]|\d+\.\d+|\w+|[!<>]=|&&|\|\||\S'), ' ') || ' ' AS b) FROM p),
 f AS (SELECT *, array_to_string(prefixes, ' ') || '|' || trim(split_part(b, '{{', 1)) || '|' || array_to_string(list_sort(list_filter(list_transform(string_split(replace(split_part(split_part(b, '{{', 2), '}}', 1), ' . ', ' .  '), ' . '), lambda x: trim(x)), lambda x: x <> '')), '|') || '|' || trim(split_part(b, '}}', 2)) AS q FROM k WHERE u <> ''),
