@@ -532,7 +532,10 @@ def failed_diff(spark, d):
     return evaluate.newly_failed(p.filter(F.size("expected") == 0).select("id"), p.filter("predicted IS NULL AND id IS NOT NULL").select("id"))
 
 
-@call("property_usage", None)
+_NAMED = r"(?:contains~? \( |[(!]|&&|\|\||filter) ?([a-z_]+)"
+
+
+@call("property_usage", f"WITH p AS (SELECT thingtalk AS t FROM examples WHERE thingtalk IS NOT NULL), u AS (SELECT unnest(regexp_extract_all(t, '{_NAMED} (?:,|>=|<=|==|=~)', 1)) AS property, 'filter' AS kind FROM p UNION ALL SELECT unnest(regexp_extract_all(t, '{_NAMED} filter', 1)), 'filter' FROM p UNION ALL SELECT unnest(regexp_extract_all(t, '\\[ ([a-z_]+) (?:\\]|filter|of|,)', 1)), 'projection' FROM p UNION ALL SELECT unnest(regexp_extract_all(t, 'sort \\( ([a-z_]+) ', 1)), 'sort' FROM p) SELECT property, count(*) FILTER (kind = 'filter') AS n_filter, count(*) FILTER (kind = 'projection') AS n_projection, count(*) FILTER (kind = 'sort') AS n_sort, count(*) AS n_total FROM u WHERE property NOT IN ('id', 'value', 'filter', 'contains', 'count', 'sort') GROUP BY property")
 def property_usage(spark, d):
     return evaluate.property_usage(table(spark, d, "examples"))
 
