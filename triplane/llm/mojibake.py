@@ -355,6 +355,9 @@ def garbled_words(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # Words and forms meet by hash: what only shares the hash goes.
+            met = [w in garbled_forms(o) for w, o in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            batch = batch.filter(pa.array(met, pa.bool_()))
             words, originals = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             shaped = pa.array([well_formed(w) for w in words], pa.bool_())
             better = pa.array([speakable(o) and not speakable(w) and len(w) > 3 for w, o in zip(words, originals)], pa.bool_())
@@ -362,9 +365,11 @@ def garbled_words(texts: DataFrame) -> DataFrame:
 
     words = texts.select("t1", "t2", F.explode(F.split("words", " ")).alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("df")).checkpoint()
-    met = counts.join(form_table(counts), F.col("word") == F.col("form")).select("word", "df", "original", "original_df", "chains")
-    # A single letter is a form of other single letters by chance: clean texts hold such letters too.
-    met = met.filter("length(word) > 1").mapInArrow(run, "word string, df bigint, original string, original_df bigint, chains bigint, shaped boolean, better boolean").checkpoint()
+    # Forms are many and long: their hashes travel instead. A single letter is a form of other single letters
+    # by chance: clean texts hold such letters too.
+    forms = form_table(counts).select(F.xxhash64("form").alias("h"), "original", "original_df", "chains")
+    met = counts.filter("length(word) > 1").withColumn("h", F.xxhash64("word")).join(forms, "h").select("word", "df", "original", "original_df", "chains")
+    met = met.mapInArrow(run, "word string, df bigint, original string, original_df bigint, chains bigint, shaped boolean, better boolean").checkpoint()
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, out, originals = [], [], []
