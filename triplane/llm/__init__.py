@@ -18,4 +18,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in _modules() for name, sql in module.ORACLE_SQL.items()}
+    # Workers import the modules too: SQL that takes a while to make is made here only.
+    return {name: sql for module in _modules() for name, sql in (module.oracle_sql() if hasattr(module, "oracle_sql") else module.ORACLE_SQL).items()}

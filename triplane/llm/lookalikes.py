@@ -362,4 +362,34 @@ def p4_forms(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_classes": p4_classes, "p4_forms": p4_forms}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def oracle_sql() -> dict[str, str]:
+    """What looks the same, once more and without a search: every character as the first of its class, composed.
+
+    Texts have the same lattices if and only if this form is the same. Its tables come from the rules above.
+    """
+    quote = lambda x: x.replace("'", "''")
+    codes = [c for c in map(chr, range(0xA0, 0x30000)) if not 0xD800 <= ord(c) < 0xE000]
+    compatible_form = {c: _COMPATIBLE[ord(c)] for c in codes if _COMPATIBLE[ord(c)] != c}
+    single = {c: x for c, x in compatible_form.items() if len(x) == 1}
+    gone = [c for c, x in compatible_form.items() if not x]
+    form = f"translate(TEXT, '{quote(''.join([*single, *gone]))}', '{quote(''.join(single.values()))}')"
+    for c, x in compatible_form.items():
+        if len(x) > 1:
+            form = f"replace({form}, '{c}', '{quote(x)}')"
+    first = {c: group[0] for c, group in _CLASS.items() if group[0] != c}
+    for c in codes:
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and parts[0] in _CLASS:
+            alike = unicodedata.normalize("NFC", _CLASS[parts[0]][0] + parts[1:])
+            if len(alike) == 1 and alike != c:
+                first[c] = alike
+    form = f"nfc_normalize(translate(nfc_normalize({form}), '{''.join(first)}', '{''.join(first.values())}'))"
+    texts = "(SELECT 'labels' AS src, label_id AS id, label AS text FROM labels UNION ALL SELECT 'examples', row_id, utterance FROM examples)"
+    forms = f"WITH f AS (SELECT src, id, text, {form.replace('TEXT', 'text')} AS form FROM {texts} WHERE text <> ''), p AS (SELECT a.src, a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.src = b.src AND a.form = b.form AND a.id < b.id AND a.text <> b.text WHERE trim(a.form) <> '')"
+    both = "(SELECT src, id_a AS id, id_b AS other FROM p UNION ALL SELECT src, id_b, id_a FROM p)"
+    return {
+        "p4_found": f"{forms} SELECT src, id_a, id_b FROM p",
+        "p4_classes": f"{forms}, k AS (SELECT src, form, min(id) AS class_id FROM f GROUP BY src, form) SELECT l.src, l.id, class_id, count(*) AS n_links FROM {both} l JOIN f ON f.src = l.src AND f.id = l.id JOIN k ON k.src = f.src AND k.form = f.form GROUP BY l.src, l.id, class_id",
+    }
