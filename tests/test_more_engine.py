@@ -129,3 +129,28 @@ def test_profiles_of_the_graph(graph, spark):  # noqa: F811
     assert {r.id: r.is_domain for r in profile.domain_entities(graph, spark.createDataFrame([(1,), (11,), (1,)], "id bigint")).collect()} == {1: True, 11: False}
     m = {(r.domain, r.pid): r for r in profile.inferred_manifest(graph, {"thing": 3, "one": 1}, 1, 1).collect()}
     assert m["thing", "P40"].n_statements == 3 and m["thing", "P40"].qualifiers == "P580 P582 P9" and m["one", "P131"].name == "located_in"
+
+
+def test_sinks(spark, tmp_path, graph):  # noqa: F811
+    from triplane.sources import datasets
+
+    e = spark.createDataFrame([("Q1", "Foo (bar)", "city"), ("Q2", None, "city"), ("Q3", "X", None)], "id string, label string, domain_name string")
+    datasets.write_parameters(e, str(tmp_path / "par"))
+    assert {(r.value, r.canonical) for r in spark.read.json(str(tmp_path / "par")).collect()} == {("Q1", "foo (bar)"), ("Q3", "x")}
+    strings = spark.createDataFrame([("brand", "A-b"), ("brand", "A-b"), ("brand", None)], "property string, value string")
+    datasets.write_strings(strings, str(tmp_path / "str"))
+    assert [(r[0], r[1], r[2]) for r in spark.read.option("sep", "\t").csv(str(tmp_path / "str")).collect()] == [("A-b", "a - b", "1")]
+    datasets.write_index(e, strings, str(tmp_path / "idx"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "idx")).collect()] == ["entity\ten-US\twd:city\tparameter-datasets/city", "string\ten-US\twd:p_brand\tparameter-datasets/p_brand"]
+    datasets.write_entities(spark.createDataFrame([("city", "city", None)], "name string, canonical string, has_ner boolean"), str(tmp_path / "ent"))
+    assert spark.read.json(str(tmp_path / "ent")).collect()[0].type == "wd:city"
+    m = profile.inferred_manifest(graph, {"thing": 3}, 1, 1)
+    datasets.write_manifest(m, str(tmp_path / "man"))
+    back = datasets.read_manifest(spark, str(tmp_path / "man")).select(m.columns)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, m.collect()))
+
+
+def test_domain_by_size_root_and_depth(spark):
+    c = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 10), (3, 99), (3, None), (1, 10)], "s bigint, class bigint")
+    t = spark.createDataFrame([(10, 100, 1, 0), (11, 5, 1, 1), (12, 50, 1, 1)], "class bigint, size bigint, root bigint, depth bigint")
+    assert {r.s: r["class"] for r in profile.chosen_domains(c, t).collect()} == {1: 12, 2: 10}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -14,8 +13,7 @@ MARKS = range(0x300, 0x370)
 def _accented() -> dict[str, str]:
     """Each character that decomposes into one other and combining marks of MARKS, with that other one."""
     out = {}
-    for code in range(0xC0, sys.maxunicode):
-        c = chr(code)
+    for c in map(chr, range(0xC0, 0x30000)):  # no later character decomposes
         if unicodedata.decomposition(c)[:1] not in ("", "<"):
             base = [x for x in unicodedata.normalize("NFD", c) if ord(x) not in MARKS]
             if len(base) == 1 and base[0] != c:

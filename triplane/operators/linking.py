@@ -78,12 +78,11 @@ def searched(texts: DataFrame, entities: DataFrame, aliases: DataFrame, k: int =
     key = lambda c: F.lower(F.trim(c))
     labels = entities.select(key("label").alias("k"), "id", F.lit(0).alias("by"))
     named = labels.union(aliases.select(key("alias"), "id", F.lit(1))).filter("k != ''").groupBy("k", "id").agg(F.min("by").alias("by"))
-    number = F.expr("try_cast(substr(id, 2) AS bigint)")
-    best = F.slice(F.array_sort(F.collect_list(F.struct("by", number.alias("number"), "id"))), 1, k)
-    found = named.groupBy("k").agg(best.alias("best"))
+    # The rank's limit is taken before the shuffle too, so a name of very many entities costs k rows a task.
+    order = Window.partitionBy("k").orderBy("by", F.expr("try_cast(substr(id, 2) AS bigint)"), "id")
+    found = named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("k", "id", "rank")
     wanted = texts.select("text").distinct().select("text", key("text").alias("k"))
-    ranked = wanted.join(found, "k").select("text", F.posexplode("best").alias("at", "e"))
-    return ranked.select("text", F.col("e.id").alias("id"), (F.col("at") + 1).alias("rank"))
+    return wanted.join(found, "k").select("text", "id", "rank")
 
 
 def ids_of_urls(urls: DataFrame, sitelinks: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -161,3 +161,16 @@ def inferred_manifest(graph: Graph, domains: dict[str, int], least: int = 10, le
     kinds = F.create_map(*[F.lit(x) for p in graph.properties.values() for x in (p.pid, p.kind)])
     qualifiers = F.concat_ws(" ", *listed) if listed else F.lit("")
     return counts.select(of_class[F.col("class").cast("int")].alias("domain"), "pid", of_pid[F.col("pid")].alias("name"), kinds[F.col("pid")].alias("kind"), "n_statements", "n_values", qualifiers.alias("qualifiers"))
+
+
+def chosen_domains(candidates: DataFrame, classes: DataFrame) -> DataFrame:
+    """[s, class]: one domain for each entity with candidates [s, class], by classes [class, size, root, depth].
+
+    First the candidate with the fewest members, the larger number on a tie. Then, among the candidates
+    under the same root, the deepest, of these the one with the most members, the larger number on a tie;
+    the root itself, at depth 0, only if it is alone. Candidates without an entry in classes don't count.
+    """
+    known = candidates.select("s", "class").distinct().join(classes, "class")
+    least = known.groupBy("s").agg(F.min_by("root", F.struct("size", -F.col("class"))).alias("of"))
+    order = F.struct((F.col("depth") == 0).alias("is_root"), -F.col("depth"), -F.col("size"), -F.col("class"))
+    return known.join(least, "s").filter(F.col("root") == F.col("of")).groupBy("s").agg(F.min_by("class", order).alias("class"))

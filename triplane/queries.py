@@ -658,3 +658,18 @@ def answer_metrics(spark, d):
 @call("intersect_mentions", "SELECT id FROM mentions WHERE id IN (SELECT id FROM entities)")
 def intersect_mentions(spark, d):
     return evaluate.intersection([table(spark, d, t).select("id").filter("id IS NOT NULL") for t in ("mentions", "entities")])
+
+
+#: Root and depth of the classes in a tree of types.
+_TREE = {6000001: (1, 2), 6000002: (1, 1), 6000003: (2, 1), 6000004: (1, 2), 6000005: (1, 2), 6000006: (3, 0), 6000007: (3, 1), 6000008: (1, 2), 6000009: (3, 1), 6000010: (2, 2), 6000011: (1, 1)}
+
+
+@call("domain_choice", _PAIRS + f", {_BELONGS}, z AS (SELECT class, count(*) AS n FROM b GROUP BY class), i(class, root, depth) AS (VALUES " + ", ".join(f"({c}, {r}, {d})" for c, (r, d) in _TREE.items()) + "), k AS (SELECT b.s, b.class, n, root, depth, first_value(root) OVER (PARTITION BY b.s ORDER BY n, b.class DESC) AS of FROM b JOIN z USING (class) JOIN i USING (class)) SELECT s, class FROM k WHERE root = of QUALIFY row_number() OVER (PARTITION BY s ORDER BY depth = 0, depth DESC, n DESC, class DESC) = 1")
+def domain_choice(spark, d):
+    """The domain of each entity by size, root and depth."""
+    from .runtime import numbers_frame
+
+    belongs = profile.members_of(statement_graph(spark, d), list(_TREE))
+    sizes = belongs.groupBy("class").agg(F.count("*").alias("size"))
+    tree = numbers_frame(spark, **{"class": list(_TREE), "root": [r for r, _ in _TREE.values()], "depth": [x for _, x in _TREE.values()]})
+    return profile.chosen_domains(belongs, sizes.join(tree, "class"))
