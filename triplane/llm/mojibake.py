@@ -267,6 +267,19 @@ def quoted(token: str, text: str) -> bool:
     return original is not None and original in text
 
 
+def cores(token: str) -> list[str]:
+    """The words that a token with foreign characters may be: without the ASCII punctuation around it, and without quotation marks at its ends.
+
+    In some encodings a mark can be part of a garbled word, so the word with it counts as well.
+    """
+    inside = in_quotes(token)
+    core = (token if inside is None else inside).strip(_ASCII_EDGES)
+    if core and (core[0] in OPENING or core[-1] in CLOSING):
+        bare = core.lstrip(OPENING).rstrip(CLOSING)
+        return [w for w in (core, bare) if not w.isascii()]
+    return [] if core.isascii() else [core]
+
+
 def foreign_words(text: str) -> set[str]:
     """The words of a text with foreign characters, without the ASCII punctuation around them and without quoted sequences."""
     if text.isascii():
@@ -274,14 +287,7 @@ def foreign_words(text: str) -> set[str]:
     for c in _SPACE:
         text = text.replace(c, " ")
     tokens = {t for t in text.split(" ") if not t.isascii()}
-    out = set()
-    for t in tokens:
-        inside = in_quotes(t)
-        if inside is None:
-            out.add(t.strip(_ASCII_EDGES))
-        elif not inside.isascii() and not quoted(t, text):
-            out.add(inside.strip(_ASCII_EDGES))
-    return out
+    return {w for t in tokens if not quoted(t, text) for w in cores(t)}
 
 
 def text_words(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -436,9 +442,8 @@ def restored(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 known = {p["word"]: p["original"] for p in pairs if p["original"] is not None}
 
                 def put(m: re.Match, known=known, t=t) -> str:
-                    inside = in_quotes(m[0])
-                    core = (m[0] if inside is None else inside).strip(_ASCII_EDGES)
-                    return m[0].replace(core, known[core]) if core in known and not quoted(m[0], t) else m[0]
+                    core = next((w for w in cores(m[0]) if w in known), None)
+                    return m[0] if core is None or quoted(m[0], t) else m[0].replace(core, known[core])
 
                 texts.append(re.sub(r"[^ \t\n\r\x0b\x0c]+", put, t))
                 n_restored.append(len(known))
