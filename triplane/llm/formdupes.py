@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import key128, table
+from ..runtime import key128, table, use_checkpoints
 from .canonical import GAP, MINUS, PLUS, POINT, query_form, utterance_form, with_forms
 
 
@@ -61,9 +61,11 @@ def copies(rows: DataFrame, key: str = "row_id", fields: dict | None = None) ->
     """(keep_id, copy_id): every further copy of a record, with the smallest key of its group.
 
     Ties can't occur but for equal keys: rows that share key and group are one row. A hot group is
-    split by adaptive execution where its members meet the one row that describes it.
+    split by adaptive execution where its members meet the one row that describes it. The tuples, a few
+    bytes a record, are checkpointed, as they are grouped and then met again.
     """
-    records = encoded_records(rows, key, fields or FIELDS)
+    use_checkpoints(rows.sparkSession)
+    records = encoded_records(rows, key, fields or FIELDS).checkpoint()
     groups = groups_of(records, key).filter("n_copies > 1").drop("n_copies")
     return records.join(groups, ["g1", "g2"]).filter(F.col(key) != F.col("keep_id")).select("keep_id", F.col(key).alias("copy_id"))
 
